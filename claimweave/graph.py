@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.functions import ids
-from claimweave.rules import Ref, constant_id
+from claimweave.functions.skew import spread
+from claimweave.rules import constant_id
 
 CLAIMS = "cid string, l string, p string, r string, tx_id string, tx_seq bigint, ord bigint"
 VALUES = "vid string, lit_type string, lit string"
@@ -167,14 +168,14 @@ class ClaimGraph:
         table, and only rows holding such ids meet it in the join.
         """
         long_values = self.values.filter(ids.is_long_value(F.col("vid"))).select(
-            F.col("vid").alias("_vid"), F.col("lit").alias("_lit")
+            F.col("vid").alias("_vid"), F.col("lit").alias("_vlit")
         )
-        key = F.when(ids.is_long_value(F.col(column)), F.col(column))
+        key = F.when(ids.is_long_value(F.col(column)), F.col(column)).otherwise(spread(df.columns))
         return (
             df.withColumn("_key", key)
             .join(long_values, F.col("_key") == F.col("_vid"), "left")
-            .withColumn(out, F.coalesce(ids.short_literal(F.col(column)), F.col("_lit")))
-            .drop("_key", "_vid", "_lit")
+            .withColumn(out, F.coalesce(ids.short_literal(F.col(column)), F.col("_vlit")))
+            .drop("_key", "_vid", "_vlit")
         )
 
     # -- time ------------------------------------------------------------------
@@ -245,5 +246,3 @@ def values_in(claims: DataFrame) -> DataFrame:
         )
     )
 
-
-__all__ = ["BASE_RELATIONS", "CLAIMS", "ClaimGraph", "Ref", "SUPERSEDES", "pattern", "values_in"]

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimweave.functions.skew import attach_sizes
+
 
 def k_hop(edges: DataFrame, k: int) -> DataFrame:
     """Distinct ``(src, dst)`` joined by exactly ``k`` edges.
@@ -36,7 +38,7 @@ def shared_targets(edges: DataFrame) -> DataFrame:
     """
     base = edges.select(F.col("src").alias("a"), F.col("dst").alias("c")).distinct()
     sizes = base.groupBy("c").agg(F.count(F.lit(1)).alias("partners"))
-    return base.join(sizes, "c").select("a", "c", "partners")
+    return attach_sizes(base, sizes, "c", "partners")
 
 
 def pair_counts(edges: DataFrame) -> DataFrame:

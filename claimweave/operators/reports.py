@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimweave.functions.skew import attach_sizes
 from claimweave.graph import ClaimGraph
 
 
@@ -83,7 +84,7 @@ def adjacency(edges: DataFrame) -> DataFrame:
     """
     distinct = edges.select("src", "dst").distinct()
     sizes = distinct.groupBy("src").agg(F.count(F.lit(1)).alias("targets"))
-    return distinct.join(sizes, "src")
+    return attach_sizes(distinct, sizes, "src", "targets")
 
 
 def group_sizes(members: DataFrame, group: str = "grp", member: str = "member") -> DataFrame:
