@@ -413,10 +413,12 @@ def route_notifications(
     statuses: DataFrame,
     subscribers: DataFrame,
     special: Sequence[str] = ("escalated", "blocked"),
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """One message per transition event and subscriber; terminal states are suppressed.
 
-    ``events(item, from_state, to_state)``, ``subscribers(item, email)``.
+    ``events(item, from_state, to_state)``, ``subscribers(item, email)``; columns of the
+    event named in ``keep`` are passed on.
     """
     groups = statuses.select(F.col("name").alias("to_state"), "grp")
     kept = events.join(groups, "to_state", "left").filter(
@@ -427,7 +429,7 @@ def route_notifications(
         F.col("grp").isin(*special),
         F.concat(F.initcap("grp"), F.lit(" notification to "), F.col("email"), F.lit(": "), change),
     ).otherwise(F.concat(F.lit("Notification to "), F.col("email"), F.lit(": "), change))
-    return kept.join(subscribers, "item").select("item", "email", text.alias("message"))
+    return kept.join(subscribers, "item").select(*keep, "item", "email", text.alias("message"))
 
 
 # -- validation before commit --------------------------------------------------

@@ -203,7 +203,9 @@ def diamond_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     return table(spark, sf_dir, "part").filter(k > 0).select(
         k.alias("src"),
-        F.explode(F.array(F.floor(k / 2), F.floor(k / 3))).cast("bigint").alias("dst"),
+        F.explode(
+            F.array(F.floor(k / 2).cast("bigint"), F.floor(k / 3).cast("bigint"))
+        ).alias("dst"),
     ).distinct()
 
 
