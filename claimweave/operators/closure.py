@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.workspace import Stored, Workspace
+from claimweave.workspace import Stored, Workspace, unseen
 
 MAX_ROUNDS = 10_000
 
@@ -47,11 +47,9 @@ def transitive_closure(
             .select("src", F.col("dst").alias("mid"))
             .join(steps, "mid")
             .select("src", F.col("next").alias("dst"))
-            .distinct()
-            .join(known.df().select("src", "dst"), ["src", "dst"], "left_anti")
-            .withColumn("depth", F.lit(depth))
         )
-        delta = space.save(reached, "paths")
+        fresh = unseen(reached, known).withColumn("depth", F.lit(depth))
+        delta = space.save(fresh, "paths")
         known = known.plus(delta)
     raise RuntimeError(f"closure not finished after {max_rounds} rounds")
 
@@ -68,13 +66,8 @@ def _closure_by_squaring(space: Workspace, base: Stored, max_rounds: int) -> Dat
         behind = full.select("src", F.col("dst").alias("mid")).join(
             new.select(F.col("src").alias("mid"), "dst"), "mid"
         )
-        reached = (
-            ahead.select("src", "dst")
-            .unionByName(behind.select("src", "dst"))
-            .distinct()
-            .join(full, ["src", "dst"], "left_anti")
-        )
-        delta = space.save(reached, "paths")
+        reached = ahead.select("src", "dst").unionByName(behind.select("src", "dst"))
+        delta = space.save(unseen(reached, known), "paths")
         known = known.plus(delta)
     raise RuntimeError(f"closure not finished after {max_rounds} rounds")
 
@@ -114,11 +107,9 @@ def reach(
             .drop("depth")
             .join(steps, "mid")
             .select(*key)
-            .distinct()
-            .join(known.df().select(*key), key, "left_anti")
-            .withColumn("depth", F.lit(depth))
         )
-        delta = space.save(reached, "frontier")
+        fresh = unseen(reached, known).withColumn("depth", F.lit(depth))
+        delta = space.save(fresh, "frontier")
         known = known.plus(delta)
     raise RuntimeError(f"frontier not empty after {max_rounds} rounds")
 

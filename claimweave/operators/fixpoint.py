@@ -10,7 +10,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from claimweave.graph import BASE_RELATIONS, ClaimGraph
 from claimweave.operators.conjunctive import bind_atom, graph_frames, head_tuples, join_body
 from claimweave.rules import Atom, Rule
-from claimweave.workspace import Stored, Workspace
+from claimweave.workspace import Stored, Workspace, unseen
 
 MAX_ROUNDS = 10_000
 
@@ -71,10 +71,7 @@ def new_tuples(candidates: Sequence[DataFrame], known: Stored, space: Workspace)
     merged = candidates[0]
     for more in candidates[1:]:
         merged = merged.unionByName(more)
-    fresh = merged.distinct()
-    if known.rows:
-        fresh = fresh.join(known.df(), fresh.columns, "left_anti")
-    return space.save(fresh, "tuples")
+    return space.save(unseen(merged, known), "tuples")
 
 
 def variants(
@@ -121,22 +118,25 @@ def run_rounds(
     space: Workspace,
     max_rounds: int = MAX_ROUNDS,
     within: dict[str, DataFrame] | None = None,
+    heads: set[str] | None = None,
 ) -> tuple[dict[str, Stored], dict[str, Stored]]:
     """Propagate ``delta`` (already part of ``full``) until no rule yields a new tuple.
 
-    Returns the full relations and everything added on the way.
+    ``heads`` restricts the rules that fire; ``within`` restricts the tuples they may
+    add.  Returns the full relations and everything added on the way.
     """
     added = dict(delta)
+    rules = [
+        r
+        for r in program.rules
+        if (heads is None or r.head.rel in heads) and (within is None or r.head.rel in within)
+    ]
     for _ in range(max_rounds):
         if all(s.rows == 0 for s in delta.values()):
             return full, added
         candidates: dict[str, list[DataFrame]] = {}
-        for r in program.rules:
-            limit = None
-            if within is not None:
-                if r.head.rel not in within:
-                    continue
-                limit = within[r.head.rel]
+        for r in rules:
+            limit = None if within is None else within[r.head.rel]
             found = variants(program, r, base, full, delta, limit)
             if found:
                 candidates.setdefault(r.head.rel, []).extend(found)
@@ -149,30 +149,60 @@ def run_rounds(
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
+def strata(program: RuleProgram) -> list[set[str]]:
+    """Relations in an order in which each is finished before others read it.
+
+    Relations that depend on each other share a stratum.
+    """
+    reads = {
+        rel: {a.rel for r in program.rules if r.head.rel == rel for a in r.body if program.is_derived(a)}
+        for rel in program.arity
+    }
+    below = {rel: set(needs) for rel, needs in reads.items()}
+    for _ in below:
+        for rel in below:
+            below[rel] |= {x for needed in below[rel] for x in below[needed]}
+    together = {
+        rel: {rel} | {x for x in below[rel] if rel in below[x]} for rel in program.arity
+    }
+    ordered = sorted(program.arity, key=lambda rel: len(below[rel] | {rel}))
+    found: list[set[str]] = []
+    for rel in ordered:
+        if together[rel] not in found:
+            found.append(together[rel])
+    return found
+
+
 def evaluate(
     program: RuleProgram,
     frames: Callable[[Atom], DataFrame],
     space: Workspace,
     max_rounds: int = MAX_ROUNDS,
 ) -> dict[str, Stored]:
-    """Round 0 uses the rules over base relations only; then deltas drive the rest."""
+    """All relations, stratum by stratum; only recursive strata need delta rounds."""
     full = {rel: space.empty(program.schema(rel)) for rel in program.arity}
-    recursive = [r for r in program.rules if any(program.is_derived(a) for a in r.body)]
-    base_only = [r for r in program.rules if r not in recursive]
-    base = cached_frames(frames, space) if recursive else frames
-    reused = {a for r in recursive for a in r.body}
-
-    def frame(a: Atom) -> DataFrame:
-        return base(a) if a in reused else frames(a)
-
-    first: dict[str, list[DataFrame]] = {}
-    for r in base_only:
-        matches = join_body(r.body, [frame(a) for a in r.body])
-        first.setdefault(r.head.rel, []).append(program.head(r, matches))
-    delta = {rel: new_tuples(found, full[rel], space) for rel, found in first.items()}
-    for rel, fresh in delta.items():
-        full[rel] = full[rel].plus(fresh)
-    full, _ = run_rounds(program, frame, full, delta, space, max_rounds)
+    for heads in strata(program):
+        rules = [r for r in program.rules if r.head.rel in heads]
+        looping = [r for r in rules if any(a.rel in heads for a in r.body)]
+        base = cached_frames(frames, space) if looping else frames
+        reused = {a for r in looping for a in r.body}
+
+        def frame(a: Atom, base=base, reused=reused) -> DataFrame:
+            if program.is_derived(a):
+                df = full[a.rel].df()
+                return bind_atom(df, df.columns, a, base=False)
+            return base(a) if a in reused else frames(a)
+
+        first: dict[str, list[DataFrame]] = {}
+        for r in rules:
+            if r not in looping:
+                matches = join_body(r.body, [frame(a) for a in r.body])
+                first.setdefault(r.head.rel, []).append(program.head(r, matches))
+        delta = {rel: new_tuples(found, full[rel], space) for rel, found in first.items()}
+        for rel, fresh in delta.items():
+            full[rel] = full[rel].plus(fresh)
+        if looping:
+            full, _ = run_rounds(program, frame, full, delta, space, max_rounds, heads=heads)
     return full
 
 

@@ -19,11 +19,13 @@ from claimweave.functions.ids import value_id
 
 SYNTAX = (
     "path string, nid int, parent int, field string, pos int, type string, name string, "
-    "note string, lit_type string, lit string, fn int, owner string, error string"
+    "note string, lit_type string, lit string, fn int, owner string, above int, error string"
 )
 # The helper travels with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Syntax that carries no claim of its own; its children hang below the nearest real node.
+_HELPERS = ("Module", "arguments", "arg", "alias", "keyword", "Expr", "error", "comprehension")
 # Kept as text only: what hangs below these fields becomes no claim.
 _TEXT_FIELDS = ("decorator_list", "bases", "returns", "annotation", "defaults", "kw_defaults")
 _NAME = ("name", "id", "attr", "arg", "module")
@@ -45,7 +47,7 @@ def _literal(node: ast.AST) -> tuple[str | None, str | None]:
     return kinds.get(type(value), "s"), str(value)
 
 
-def _row(path, nid, parent, field, pos, node, fn, owner) -> tuple:
+def _row(path, nid, parent, field, pos, node, fn, owner, above) -> tuple:
     name = next((getattr(node, k) for k in _NAME if isinstance(getattr(node, k, None), str)), None)
     note = None
     if isinstance(node, ast.Call):
@@ -64,7 +66,7 @@ def _row(path, nid, parent, field, pos, node, fn, owner) -> tuple:
         note = node.asname or node.name
     if field in ("decorator_list", "bases", "defaults"):
         note = _text(node)
-    return (path, nid, parent, field, pos, type(node).__name__, name, note, *_literal(node), fn, owner, None)
+    return (path, nid, parent, field, pos, type(node).__name__, name, note, *_literal(node), fn, owner, above, None)
 
 
 def syntax_rows(path: str, source: str) -> list[tuple]:
@@ -72,15 +74,17 @@ def syntax_rows(path: str, source: str) -> list[tuple]:
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError) as error:
-        return [(path, 0, None, None, None, "error", None, None, None, None, None, None, str(error))]
+        return [(path, 0, None, None, None, "error", None, None, None, None, None, None, None, str(error))]
     rows: list[tuple] = []
-    # (node, parent id, field, position, enclosing function id, owner: module, class or function)
-    stack = [(tree, None, None, None, None, None)]
+    # (node, parent id, field, position, enclosing function id, owner: module, class or
+    # function, nearest ancestor that is not helper syntax)
+    stack = [(tree, None, None, None, None, None, None)]
     while stack:
-        node, parent, field, pos, fn, owner = stack.pop()
+        node, parent, field, pos, fn, owner, above = stack.pop()
         nid = len(rows)
-        rows.append(_row(path, nid, parent, field, pos, node, fn, owner))
+        rows.append(_row(path, nid, parent, field, pos, node, fn, owner, above))
         inside, kind = fn, owner
+        real = above if type(node).__name__ in _HELPERS else nid
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             inside, kind = nid, "function"
         elif isinstance(node, ast.ClassDef):
@@ -94,7 +98,7 @@ def syntax_rows(path: str, source: str) -> list[tuple]:
             if isinstance(value, list) and field not in _TEXT_FIELDS:
                 items = [v for v in value if isinstance(v, ast.AST)]
                 items = [v for v in items if not isinstance(v, (ast.expr_context, ast.operator, ast.cmpop))]
-                children.extend((c, nid, name, i, inside, kind) for i, c in enumerate(items))
+                children.extend((c, nid, name, i, inside, kind, real) for i, c in enumerate(items))
         stack.extend(reversed(children))
     return rows
 
@@ -109,11 +113,16 @@ def parse_files(files: DataFrame) -> DataFrame:
             for path, source in zip(batch["path"], batch["source"]):
                 rows.extend(syntax_rows(path, source))
             out = pd.DataFrame(rows, columns=columns)
-            for c in ("nid", "parent", "pos", "fn"):
+            for c in ("nid", "parent", "pos", "fn", "above"):
                 out[c] = out[c].astype("Int32")
             yield out
 
-    return files.select("path", "source").mapInPandas(extract, SYNTAX)
+    # Parsing costs far more than moving the text, so files are spread over all cores.
+    spark = files.sparkSession
+    width = max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
+    return files.select("path", "source").repartition(width, "path").mapInPandas(extract, SYNTAX)
 
 
 # -- structural claims ---------------------------------------------------------
@@ -154,8 +163,6 @@ EXPRESSIONS = {
     "ImportFrom": "import",
     "Match": "match",
 }
-# Syntax that carries no claim of its own; its children hang below the nearest real node.
-_HELPERS = ("Module", "arguments", "arg", "alias", "keyword", "Expr", "error", "comprehension")
 
 
 def _mapped(column: Column, table: dict[str, str]) -> Column:
@@ -250,28 +257,15 @@ class Corpus:
         )
 
     def child_links(self) -> DataFrame:
-        """``(src, dst)``: expression children, helper nodes skipped, constants as values.
-
-        Helper syntax nests only a few levels, so it is skipped by that many joins.
-        """
-        is_helper = F.col("type").isin(*_HELPERS)
-        parents = self.syntax.select(
-            "path", F.col("nid").alias("parent"), F.col("parent").alias("_up"),
-            is_helper.alias("_skip"),
+        """``(src, dst)``: expression children, helper nodes skipped, constants as values."""
+        nodes = self.syntax.filter(
+            ~F.col("type").isin(*_HELPERS) & F.col("above").isNotNull() & ~self._aside()
         )
-        nodes = self.syntax.filter(~is_helper & F.col("parent").isNotNull())
-        for _ in range(3):
-            nodes = (
-                nodes.join(parents, ["path", "parent"])
-                .withColumn("parent", F.when(F.col("_skip"), F.col("_up")).otherwise(F.col("parent")))
-                .drop("_up", "_skip")
-                .filter(F.col("parent").isNotNull())
-            )
         child = F.when(
             F.col("type") == "Constant", value_id(F.col("lit_type"), F.col("lit"))
         ).otherwise(node_id(F.col("path"), F.col("nid")))
-        return nodes.filter(~self._aside()).select(
-            node_id(F.col("path"), F.col("parent")).alias("src"), child.alias("dst"), "path", "nid",
+        return nodes.select(
+            node_id(F.col("path"), F.col("above")).alias("src"), child.alias("dst"), "path", "nid",
             "field", "pos",
         )
 

@@ -58,8 +58,9 @@ class GraphStore:
                 .withColumn("agent", F.lit(None).cast("string"))
             )
         self._write(txs.select("tx_id", "seq", "agent"), "txs", batch)
-        if rules is not None:
-            self._write(rules, "rules", batch)
+        self._write(
+            rules if rules is not None else self.spark.createDataFrame([], RULES), "rules", batch
+        )
         log = self._read("txs", TXS).filter(F.col("batch") == batch)
         log = log.agg(F.coalesce(F.max("seq"), F.lit(0)).cast("bigint").alias("max_seq"))
         self._write(log, "log", batch)
@@ -113,12 +114,7 @@ class GraphStore:
         if upto is not None:
             claims = claims.filter(F.col("tx_seq") <= upto)
             txs = txs.filter(F.col("seq") <= upto)
-        try:
-            rules = table("rules", RULES)
-        except Exception as error:  # a graph without rules has no such folder
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            rules = None
+        rules = table("rules", RULES)
         return ClaimGraph(claims, table("values", VALUES), txs, rules)
 
 

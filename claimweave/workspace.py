@@ -73,3 +73,18 @@ class Stored:
         if not self.paths:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*self.paths)
+
+
+def unseen(candidates: DataFrame, known: Stored) -> DataFrame:
+    """The distinct candidates that ``known`` does not hold yet.
+
+    One aggregate over both removes duplicates and known rows with a single shuffle and
+    no sort; a distinct followed by an anti join would shuffle twice.
+    """
+    keys = candidates.columns
+    if known.rows == 0:
+        return candidates.distinct()
+    tagged = candidates.withColumn("_new", F.lit(True)).unionByName(
+        known.df().select(*keys, F.lit(False).alias("_new"))
+    )
+    return tagged.groupBy(*keys).agg(F.min("_new").alias("_new")).filter("_new").drop("_new")
