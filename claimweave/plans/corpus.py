@@ -364,3 +364,31 @@ def _(spark, sf):
     )
 
 
+
+
+@analysis(
+    "source_added_to_graph",
+    "SELECT 'n_' || n_nationkey AS src, 'f_' || p_partkey AS dst FROM nation JOIN part ON n_nationkey = p_partkey",
+)
+def _(spark, sf):
+    # New files, one per nation, call functions that are in the graph already.
+    graph = code_graph(spark, sf)
+    key = F.col("n_nationkey").cast("string")
+    new_files = table(spark, sf, "nation").select(
+        F.concat(F.lit("src/nation"), key, F.lit(".py")).alias("path"),
+        F.concat(F.lit("def n_"), key, F.lit("(x):\n    return f_"), key, F.lit("(x)\n")).alias("source"),
+    )
+    space = Workspace(spark)
+    added = Corpus(space.save(parse_files(new_files), "syntax").df())
+    claims = added.claims(tx_seq=2, existing=symbols(graph))
+    calls = claims.filter(F.col("p") == "calls").select("l", F.col("r").alias("entity"))
+    owners = added.definitions().select("path", F.col("name").alias("src"))
+    from_path = F.regexp_extract("l", r"^e:py/(.*)#", 1)
+    named = symbols(graph).select("entity", F.col("name").alias("dst"))
+    return (
+        calls.withColumn("path", from_path)
+        .join(owners, "path")
+        .join(named, "entity")
+        .select("src", "dst")
+        .distinct()
+    )

@@ -232,9 +232,10 @@ class Corpus:
             node_id(F.col("path"), F.col("nid")).alias("entity"), "path", "fn", "name", "type",
         )
 
-    def resolved(self) -> DataFrame:
+    def resolved(self, existing: DataFrame | None = None) -> DataFrame:
         """Each reference with its target: parameter in scope, else the newest definition of
-        that name in the corpus, else the name as a literal.  Two equi joins."""
+        that name in the corpus, else one of ``existing(name, entity)``, else the name as a
+        literal.  Equi joins with one row per name on the right."""
         scope = self.parameters().select("path", "fn", "name", F.col("entity").alias("_param"))
         defined = (
             self.definitions()
@@ -242,6 +243,11 @@ class Corpus:
             .groupBy("name")
             .agg(F.max("entity").alias("_global"))
         )
+        if existing is not None:
+            before = existing.groupBy("name").agg(F.max("entity").alias("_before"))
+            defined = defined.join(before, "name", "full").select(
+                "name", F.coalesce("_global", "_before").alias("_global")
+            )
         return (
             self.references()
             .join(scope, ["path", "fn", "name"], "left")
@@ -269,8 +275,8 @@ class Corpus:
             "field", "pos",
         )
 
-    def claims(self, tx_seq: int = 1) -> DataFrame:
-        """All structural claims of the corpus."""
+    def claims(self, tx_seq: int = 1, existing: DataFrame | None = None) -> DataFrame:
+        """All structural claims of the corpus; names may resolve to ``existing`` entities."""
         path, nid = F.col("path"), F.col("nid")
         me = node_id(path, nid)
         top = self.top()
@@ -283,7 +289,6 @@ class Corpus:
             return df.select(l.alias("l"), F.lit(p).alias("p"), r.alias("r"))
 
         syntax, defs, params = self.syntax, self.definitions(), self.parameters()
-        form = _mapped(F.col("type"), FORMS)
         body = F.concat(me, F.lit("/body"))
         is_fn = syntax.filter(functions)
         expr_kind = F.when(
@@ -316,7 +321,7 @@ class Corpus:
             link(is_fn, me, "body", body),
             literal(is_fn, body, "expr-kind", F.lit("block")),
             literal(inner, me, "expr-kind", expr_kind),
-            link(self.resolved(), F.col("entity"), "calls", F.col("target")),
+            link(self.resolved(existing), F.col("entity"), "calls", F.col("target")),
             link(links.filter(of_function), F.concat("src", F.lit("/body")), "has-child", F.col("dst")),
             literal(links.filter(of_function), F.col("dst"), "position", F.col("pos"), "i"),
             link(links.filter(~F.coalesce(of_function, F.lit(False))), F.col("src"), "has-child", F.col("dst")),

@@ -81,8 +81,8 @@ class GraphStore:
     def _write(self, df: DataFrame, table: str, batch: str) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/{table}/batch={batch}")
 
-    def compact(self, batch: str, batches: list[str], into: "GraphStore") -> None:
-        """Merge the named batches into one batch of another root."""
+    def compact(self, batch: str, into: "GraphStore") -> None:
+        """Merge all committed batches into one batch of another root."""
         graph = self.graph()
         into.commit(batch, graph.claims, graph.values.distinct(), graph.txs, graph.rules)
 

@@ -44,11 +44,12 @@ class Workspace:
         self._count += 1
         return f"{self.root}/{self._count:05d}-{label}"
 
-    def save(self, df: DataFrame, label: str) -> "Stored":
-        """Write ``df`` once and count its rows while they are written."""
+    def save(self, df: DataFrame, label: str, where: str | None = None) -> "Stored":
+        """Write ``df`` once and count its rows (those meeting ``where``) on the way."""
         path = self.path(label)
         seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        counted = F.count(F.lit(1)) if where is None else F.count_if(F.expr(where))
+        df.observe(seen, counted.alias("rows")).write.parquet(path)
         return Stored(self.spark, df.schema, [path], int(seen.get["rows"]))
 
     def empty(self, schema: StructType) -> "Stored":
