@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from claimweave.functions import ids
 from claimweave.functions.skew import spread
 from claimweave.rules import constant_id
+from claimweave.workspace import empty_frame
 
 CLAIMS = "cid string, l string, p string, r string, tx_id string, tx_seq bigint, ord bigint"
 VALUES = "vid string, lit_type string, lit string"
@@ -56,10 +58,16 @@ class ClaimGraph:
             .distinct()
             .withColumn("agent", F.lit(None).cast("string"))
         )
-        self.rules = rules if rules is not None else spark.createDataFrame([], RULES)
+        self.rules = (
+            rules if rules is not None else empty_frame(spark, StructType.fromDDL(RULES))
+        )
 
     def with_claims(self, more: DataFrame, txs: DataFrame | None = None) -> "ClaimGraph":
-        """The graph after appending ``more`` claims."""
+        """The graph after appending ``more`` claims.
+
+        Lazy: for a chain of changes commit each one to a store and read the graph back,
+        so that plans do not grow with the number of changes.
+        """
         merged = self.claims.unionByName(more)
         merged_txs = self.txs.unionByName(txs) if txs is not None else None
         new_values = self.values.unionByName(values_in(more)).distinct()

@@ -16,8 +16,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from claimweave.graph import CLAIMS, RULES, TXS, VALUES, ClaimGraph, values_in
+from claimweave.workspace import empty_frame
 
 _LOG = "max_seq bigint, batch string"
 
@@ -59,7 +61,9 @@ class GraphStore:
             )
         self._write(txs.select("tx_id", "seq", "agent"), "txs", batch)
         self._write(
-            rules if rules is not None else self.spark.createDataFrame([], RULES), "rules", batch
+            rules if rules is not None else empty_frame(self.spark, StructType.fromDDL(RULES)),
+            "rules",
+            batch,
         )
         log = self._read("txs", TXS).filter(F.col("batch") == batch)
         log = log.agg(F.coalesce(F.max("seq"), F.lit(0)).cast("bigint").alias("max_seq"))

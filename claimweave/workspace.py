@@ -72,10 +72,17 @@ class Stored:
 
     def df(self) -> DataFrame:
         if not self.paths:
-            return self.spark.createDataFrame([], self.schema)
+            return empty_frame(self.spark, self.schema)
         return self.spark.read.schema(self.schema).parquet(*self.paths)
 
 
+def empty_frame(spark: SparkSession, schema: StructType) -> DataFrame:
+    """No rows, with a size the optimizer knows."""
+    return spark.range(0).select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    )
+
+
 def unseen(candidates: DataFrame, known: Stored) -> DataFrame:
     """The distinct candidates that ``known`` does not hold yet.
 

@@ -1,7 +1,23 @@
 """Small graphs for tests."""
 
+import pyarrow as pa
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
 from claimweave.functions.ids import literal_id
 from claimweave.graph import CLAIMS, ClaimGraph
+from claimweave.workspace import Workspace
+
+
+def frame(spark, data, schema):
+    """A small local frame; ``schema`` is a DDL string or a list of names."""
+    data = [tuple(row) for row in data]
+    if isinstance(schema, str):
+        fields = to_arrow_schema(StructType.fromDDL(schema))
+        columns = [pa.array([row[i] for row in data], f.type) for i, f in enumerate(fields)]
+        return spark.createDataFrame(pa.Table.from_arrays(columns, schema=fields))
+    columns = [pa.array([row[i] for row in data]) for i in range(len(schema))]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, names=list(schema)))
 
 
 def claims(spark, triples, seq=1, start=1):
@@ -10,7 +26,12 @@ def claims(spark, triples, seq=1, start=1):
     for i, (l, p, r) in enumerate(triples, start):
         right = literal_id(r[1]) if isinstance(r, tuple) else r
         rows.append((f"c:{i}", l, p, right, f"t:{seq}", seq, i))
-    return spark.createDataFrame(rows, CLAIMS)
+    return frame(spark, rows, CLAIMS)
+
+
+def stored(df):
+    """The same rows read back from a written table, so that they are computed once."""
+    return Workspace(df.sparkSession).save(df, "test").df()
 
 
 def graph(spark, triples, seq=1, start=1):
@@ -36,8 +57,8 @@ def closure_of(edges):
 
 
 def tx_rows(spark, *rows_):
-    return spark.createDataFrame(list(rows_), "tx_id string, seq bigint, agent string")
+    return frame(spark, list(rows_), "tx_id string, seq bigint, agent string")
 
 
 def requests(spark, rows_, schema="l string, p string, r string, ord bigint"):
-    return spark.createDataFrame(rows_, schema)
+    return frame(spark, rows_, schema)

@@ -1,6 +1,6 @@
 """The help-desk model, source corpora and streams."""
 
-from graphs import claims, graph, rows
+from graphs import claims, frame, graph, rows, stored
 from pyspark.sql import functions as F
 
 from claimweave import ClaimGraph, Workspace, atom, ref, rule
@@ -32,18 +32,18 @@ def test_groups_moves_and_access(spark):
     statuses, permissions, _ = desk(spark, [("duplicate", "terminal")])
     sizes = {r["grp"]: r["count"] for r in statuses.groupBy("grp").count().collect()}
     assert sizes == {"active": 3, "terminal": 4}
-    states = spark.createDataFrame([("t1", "open")], ["entity", "state"])
-    wanted = spark.createDataFrame([("t1", s, i) for i, s in enumerate(("in_progress", "closed", "archived", "resolved"))], ["entity", "target", "ord"])
+    states = frame(spark, [("t1", "open")], ["entity", "state"])
+    wanted = frame(spark, [("t1", s, i) for i, s in enumerate(("in_progress", "closed", "archived", "resolved"))], ["entity", "target", "ord"])
     allowed = {r["target"] for r in checks.check_moves(states, wanted, rule_table(spark, ("from_name", "to_name"), TRANSITIONS)).filter("allowed").collect()}
     assert allowed == {"in_progress", "closed"}
-    users = spark.createDataFrame([("ann", "admin"), ("bo", "agent")], ["user", "role"])
-    asked = spark.createDataFrame([("ann", "archive"), ("bo", "archive"), ("bo", "manage")], ["user", "action"])
+    users = frame(spark, [("ann", "admin"), ("bo", "agent")], ["user", "role"])
+    asked = frame(spark, [("ann", "archive"), ("bo", "archive"), ("bo", "manage")], ["user", "action"])
     assert rows(checks.check_access(users, asked, permissions).filter("allowed"), "user", "action") == [("ann", "archive"), ("bo", "manage")]
 
 
 def test_base_model_has_no_notification_or_permission_obligations(spark):
     statuses, permissions, effects = desk(spark)
-    none = spark.createDataFrame([], PRIORITY)
+    none = frame(spark, [], PRIORITY)
     assert checks.notification_obligations(statuses, effects, none).count() == 0
     assert checks.permission_obligations(statuses, permissions, none).count() == 0
     assert checks.workflow_obligations(statuses, none).count() == 0
@@ -52,7 +52,7 @@ def test_base_model_has_no_notification_or_permission_obligations(spark):
 def test_extended_model_obligations(spark):
     statuses, permissions, effects = desk(spark, [("urgent", "escalated")])
     data = [("critical", 1, "senior", "urgent_page", True, "escalated"), ("low", 24, "any", "normal", False, None), ("odd", 5, "admin", "normal", True, "blocked")]
-    priorities = spark.createDataFrame(data, PRIORITY)
+    priorities = frame(spark, data, PRIORITY)
     assert rows(checks.notification_obligations(statuses, effects, priorities), "subject") == [("critical",), ("escalated",)]
     assert rows(checks.permission_obligations(statuses, permissions, priorities), "subject") == [("critical",), ("escalated/de_escalate",), ("escalated/escalate",), ("odd",)]
     assert rows(checks.workflow_obligations(statuses, priorities), "reason", "subject") == [("escalation to empty group", "odd")]
@@ -61,9 +61,9 @@ def test_extended_model_obligations(spark):
 
 def test_group_is_the_most_specific_match(spark):
     props = [("a", "counts_as_work", "true"), ("a", "terminal", "false"), ("b", "counts_as_work", "true"), ("b", "terminal", "false"), ("b", "priority", "high"), ("c", "terminal", "false")]
-    df = spark.createDataFrame(props, ["entity", "prop", "value"])
+    df = frame(spark, props, ["entity", "prop", "value"])
     assert {r["entity"]: r["grp"] for r in checks.derive_group(df).collect()} == {"a": "active", "b": "escalated", "c": None}
-    declared = spark.createDataFrame([("a", "terminal")], ["entity", "grp"])
+    declared = frame(spark, [("a", "terminal")], ["entity", "grp"])
     assert checks.contradictions(declared, df).count() == 2
     assert checks.contradictions(declared, df, strict=False).count() == 1
 
@@ -87,14 +87,14 @@ class Box(Base):
 
 
 def code(spark, *files):
-    df = spark.createDataFrame(list(files), ["path", "source"])
+    df = frame(spark, list(files), ["path", "source"])
     return Corpus(Workspace(spark).save(parse_files(df), "syntax").df())
 
 
 def test_source_to_dependencies(spark):
     corpus = code(spark, ("src/one.py", SOURCE), ("bad.py", "def ("))
     assert rows(corpus.errors, "path") == [("bad.py",)]
-    g = ClaimGraph(corpus.claims())
+    g = ClaimGraph(stored(corpus.claims()))
     found = dependency_program().derive(g)
     names = {r["entity"]: r["name"] for r in symbols(g).collect()}
     edges = {(names[a], names[b]) for a, b in rows(found["fn-depends-on"])}
@@ -108,9 +108,9 @@ def test_source_to_dependencies(spark):
 
 
 def test_new_source_resolves_to_what_is_there(spark):
-    old = ClaimGraph(code(spark, ("src/one.py", SOURCE)).claims())
+    old = ClaimGraph(stored(code(spark, ("src/one.py", SOURCE)).claims()))
     new = code(spark, ("src/two.py", "def d(x):\n    return a(x)\n"))
-    merged = old.with_claims(new.claims(tx_seq=2, existing=symbols(old)))
+    merged = old.with_claims(stored(new.claims(tx_seq=2, existing=symbols(old))))
     found = dependency_program().derive(merged)["fn-depends-on"]
     names = {r["entity"]: r["name"] for r in symbols(merged).collect()}
     assert ("d", "a") in {(names[a], names[b]) for a, b in rows(found)}
@@ -119,7 +119,7 @@ def test_new_source_resolves_to_what_is_there(spark):
 def test_fifty_functions_direct_and_transitive(spark):
     # Nine functions call the core directly, eight more only through them.
     edges = [(f"d{i}", "core") for i in range(9)] + [(f"i{i}", f"d{i}") for i in range(8)]
-    report = impact(spark.createDataFrame(edges, ["src", "dst"])).filter("target = 'core'").first()
+    report = impact(frame(spark, edges, ["src", "dst"])).filter("target = 'core'").first()
     assert (report["direct"], report["transitive"], report["indirect_only"]) == (9, 17, 8)
 
 
@@ -152,7 +152,7 @@ def test_late_claim_does_not_replace_a_newer_one(spark):
     space = Workspace(spark)
     incoming, out = space.path("incoming"), space.path("newest")
     for i, (r, o) in enumerate([("new", 9), ("late", 3)]):
-        df = spark.createDataFrame([("c", "x", "p", r, "t:1", 1, o)], "cid string, l string, p string, r string, tx_id string, tx_seq bigint, ord bigint")
+        df = frame(spark, [("c", "x", "p", r, "t:1", 1, o)], "cid string, l string, p string, r string, tx_id string, tx_seq bigint, ord bigint")
         df.coalesce(1).write.mode("append").parquet(incoming)
         live.run_newest(live.claim_stream(spark, incoming), out, space.root + "/progress").awaitTermination()
     assert rows(live.read_newest(spark, out)) == [("x", "p", "new", 9)]

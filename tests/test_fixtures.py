@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from graphs import claims, graph, lit, requests, rows, tx_rows
+from graphs import claims, frame, graph, lit, requests, rows, tx_rows
 
 from claimweave import ClaimGraph, Workspace, atom, ref, rule
 from claimweave.operators import closure, formulas, history, lookup, mutate
@@ -42,8 +42,8 @@ def test_diamond_has_each_pair_once(spark):
 
 
 def test_cycle_and_tree(spark):
-    cycle = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], ["src", "dst"])
-    tree = spark.createDataFrame([(k, k // 2) for k in range(1, 20)], ["src", "dst"])
+    cycle = frame(spark, [("a", "b"), ("b", "c"), ("c", "a")], ["src", "dst"])
+    tree = frame(spark, [(k, k // 2) for k in range(1, 20)], ["src", "dst"])
     for squaring in (False, True):
         assert closure.transitive_closure(cycle, squaring=squaring).count() == 9
         assert closure.transitive_closure(tree, squaring=squaring).count() == 69
@@ -174,13 +174,19 @@ def test_compaction_keeps_the_graph(spark):
 
 
 def test_update_retract_unlink_history(spark):
-    g = graph(spark, [("u", "name", lit("Alice")), ("u", "email", lit("old")), ("u", "in", "g1"), ("u", "in", "g2")])
-    g = g.with_claims(mutate.update(g, requests(spark, [("u", "email", "v:s:new", 10)]), 2))
+    store = GraphStore(spark, Workspace(spark).path("people"))
+    first = [("u", "name", lit("Alice")), ("u", "email", lit("old")), ("u", "in", "g1"), ("u", "in", "g2")]
+    store.commit("1", claims(spark, first))
+    g = store.graph()
+    store.commit("2", mutate.update(g, requests(spark, [("u", "email", "v:s:new", 10)]), 2))
+    g = store.graph()
     assert rows(lookup.lookup(g, "email"), "value") == [("new",)]
     assert g.claims_where(p="email").count() == 2
-    g = g.with_claims(mutate.unlink(g, requests(spark, [("u", "in", "g1", 11)]), 3))
+    store.commit("3", mutate.unlink(g, requests(spark, [("u", "in", "g1", 11)]), 3))
+    g = store.graph()
     assert rows(g.current(p="in"), "r") == [("g2",)]
-    g = g.with_claims(mutate.retract(g, requests(spark, [("u", "email", None, 12)]), 4))
+    store.commit("4", mutate.retract(g, requests(spark, [("u", "email", None, 12)]), 4))
+    g = store.graph()
     assert g.current(p="email").count() == 0
     assert rows(lookup.lookup(g, "name"), "value") == [("Alice",)]
     versions = [(r["version"], r["r"], r["valid_from"], r["valid_to"]) for r in history.value_history(g, "email").orderBy("version").collect()]
@@ -196,15 +202,15 @@ def test_values_are_typed_and_interned(spark):
 
 def test_rename_leaves_references(spark):
     g = graph(spark, [("f", "name", lit("old")), ("call", "calls", "f"), ("test", "calls", "f")])
-    more = mutate.rename(g, spark.createDataFrame([("f", "new", 10)], "l string, name string, ord bigint"), 2)
+    more = mutate.rename(g, frame(spark, [("f", "new", 10)], "l string, name string, ord bigint"), 2)
     g = g.with_claims(more)
     assert g.current(p="calls", r="f").count() == 2
     assert rows(lookup.names(g)) == [("f", "new")]
 
 
 def test_affected_includes_the_changed_node(spark):
-    depends = spark.createDataFrame([("outer", "inner"), ("other", "leaf")], ["src", "dst"])
-    changed = spark.createDataFrame([("inner",)], ["node"])
+    depends = frame(spark, [("outer", "inner"), ("other", "leaf")], ["src", "dst"])
+    changed = frame(spark, [("inner",)], ["node"])
     assert rows(closure.affected_by(depends, changed), "node") == [("inner",), ("outer",)]
 
 
@@ -225,7 +231,7 @@ def test_formula_and_branches(spark):
         ("if-bad", "if", None, None, None, None, "f", "1", "bad"), ("v", "var", None, "x", None, None, None, None, None),
         binop("up", "+", "bad", "v"), binop("unknown", "?", "1", "2"), binop("mixed", "+", "t", "1"),
     ]
-    nodes = spark.createDataFrame(data, formulas.NODES)
+    nodes = frame(spark, data, formulas.NODES)
     found = {r["node"]: r for r in formulas.evaluate(nodes).collect()}
     assert len(found) == len(data)
     assert (found["root"]["num"], found["if-t"]["num"], found["if-f"]["num"]) == (12.0, 1.0, 2.0)
@@ -233,10 +239,10 @@ def test_formula_and_branches(spark):
     assert found["v"]["reason"] == "unbound variable: x"
     assert found["unknown"]["reason"] == "unknown primitive: ?"
     assert found["mixed"]["reason"] == "operands must be literals"
-    bound = formulas.evaluate(nodes, spark.createDataFrame([("x", 5.0)], ["param", "value"]))
+    bound = formulas.evaluate(nodes, frame(spark, [("x", 5.0)], ["param", "value"]))
     assert bound.filter("node = 'v'").first()["num"] == 5.0
     # Division on whole numbers is exact up to double precision.
-    roots = spark.createDataFrame([("root",), ("bad",)], ["root"])
+    roots = frame(spark, [("root",), ("bad",)], ["root"])
     cut = formulas.evaluate(nodes, max_rounds=1)
     assert rows(formulas.run_table(roots, cut), "root", "status") == [("bad", "error"), ("root", "incomplete")]
 
@@ -247,11 +253,11 @@ def test_only_affected_formulas_run_again(spark):
         data.append((f"{t}/0", "literal", None, None, "i", "1", None, None, None))
         for d in range(1, 5):
             data.append((f"{t}/{d}", "binop", "+", None, None, None, f"{t}/{d - 1}", f"{t}/0", None))
-    nodes = spark.createDataFrame(data, formulas.NODES)
+    nodes = frame(spark, data, formulas.NODES)
     before = Workspace(spark).save(formulas.evaluate(nodes), "before").df()
     data[0] = ("0/0", "literal", None, None, "i", "7", None, None, None)
-    changed = spark.createDataFrame([("0/0",)], ["node"])
-    after, affected = formulas.reevaluate(spark.createDataFrame(data, formulas.NODES), before, changed)
+    changed = frame(spark, [("0/0",)], ["node"])
+    after, affected = formulas.reevaluate(frame(spark, data, formulas.NODES), before, changed)
     assert affected.count() == 5
     totals = {r["node"]: r["num"] for r in after.collect()}
     assert len(totals) == 500 and totals["0/4"] == 35.0 and totals["1/4"] == 5.0
@@ -283,7 +289,7 @@ def test_long_literals_keep_their_text(spark):
     long = "x" * 500
     from claimweave.sources.relational import TableSpec, table_claims, table_values
 
-    df = spark.createDataFrame([(1, long), (2, "short")], "k bigint, text string")
+    df = frame(spark, [(1, long), (2, "short")], "k bigint, text string")
     spec = TableSpec("doc", "k", {"text": "text"})
     g = ClaimGraph(table_claims(df, spec), table_values(df, spec))
     assert {r["value"] for r in lookup.lookup(g, "text").collect()} == {long, "short"}
