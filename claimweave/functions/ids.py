@@ -1,6 +1,7 @@
 """Object ids as pure expressions.
 
-Ids are readable strings in disjoint namespaces, so any task can compute them without
+Literal types are one letter: s string, i integer, d double, b boolean, n null, t date or
+time, m decimal.  Ids are readable strings in disjoint namespaces, so any task can compute them without
 a shared counter: ``e:<kind>/<key>`` for entities, ``v:<type>:<literal>`` for values,
 ``c:...`` for claims and ``t:<seq>`` for transactions.  A long literal is replaced by
 its digest (``v:s#<sha256>``) to keep join keys short.
@@ -14,9 +15,6 @@ from pyspark.sql import types as T
 
 LONG_LITERAL = 64
 
-# One letter per literal type.
-LITERAL_TYPES = ("s", "i", "d", "b", "n", "t", "m")
-
 
 def entity_id(kind: str, key: Column | str) -> Column:
     key = F.col(key) if isinstance(key, str) else key

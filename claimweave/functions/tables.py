@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 RULE_ROWS = 10_000
 
@@ -28,13 +27,3 @@ def rule_table(spark: SparkSession, columns: Sequence[str], rows: Iterable[Seque
         raise ValueError(f"{len(rows)} rows are data, not rules: load them as a table")
     body = ", ".join("(" + ", ".join(_sql_literal(v) for v in row) + ")" for row in rows)
     return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(columns)})")
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` after counting at most ``max_rows + 1`` of its rows.
-
-    A larger frame is returned unchanged, so the join shuffles instead.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
