@@ -103,8 +103,12 @@ def syntax_rows(path: str, source: str) -> list[tuple]:
     return rows
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """``files(path, source)`` to syntax rows; a file that does not parse yields its error."""
+def parse_files(files: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``files(path, source)`` to syntax rows; a file that does not parse yields its error.
+
+    Parsing costs far more than moving the text, so files are spread over
+    ``partitions`` tasks, three per core unless given.
+    """
     columns = [c.split()[0] for c in SYNTAX.split(", ")]
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,11 +121,7 @@ def parse_files(files: DataFrame) -> DataFrame:
                 out[c] = out[c].astype("Int32")
             yield out
 
-    # Parsing costs far more than moving the text, so files are spread over all cores.
-    spark = files.sparkSession
-    width = max(
-        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    )
+    width = partitions or 3 * files.sparkSession.sparkContext.defaultParallelism
     return files.select("path", "source").repartition(width, "path").mapInPandas(extract, SYNTAX)
 
 
