@@ -83,16 +83,25 @@ def empty_frame(spark: SparkSession, schema: StructType) -> DataFrame:
     )
 
 
-def unseen(candidates: DataFrame, known: Stored) -> DataFrame:
+# Up to this many known rows an anti join is cheaper: the known side is then small enough
+# for the optimizer to broadcast it, if its size on disk allows.
+FEW_ROWS = 1_000_000
+
+
+def unseen(candidates: DataFrame, known: Stored, few: int = FEW_ROWS) -> DataFrame:
     """The distinct candidates that ``known`` does not hold yet.
 
-    One aggregate over both removes duplicates and known rows with a single shuffle and
-    no sort; a distinct followed by an anti join would shuffle twice.
+    With many known rows, one aggregate over both sides removes duplicates and known rows
+    in a single shuffle without a sort; a distinct followed by an anti join would shuffle
+    twice.
     """
     keys = candidates.columns
     if known.rows == 0:
         return candidates.distinct()
+    seen = known.df().select(*keys)
+    if known.rows <= few:
+        return candidates.distinct().join(seen, keys, "left_anti")
     tagged = candidates.withColumn("_new", F.lit(True)).unionByName(
-        known.df().select(*keys, F.lit(False).alias("_new"))
+        seen.withColumn("_new", F.lit(False))
     )
     return tagged.groupBy(*keys).agg(F.min("_new").alias("_new")).filter("_new").drop("_new")

@@ -7,7 +7,7 @@ from graphs import claims, closure_of, frame, graph, requests, rows, stored, tx_
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from claimweave import ClaimGraph, atom, ref, rule
+from claimweave import ClaimGraph, Workspace, atom, ref, rule
 from claimweave.functions.ordered import neighbour_in_group, number_in_group
 from claimweave.functions.skew import attach_sizes
 from claimweave.graph import CLAIMS
@@ -15,6 +15,7 @@ from claimweave.operators import checks, closure, history, lookup, mutate, namin
 from claimweave.operators.fixpoint import RuleProgram
 from claimweave.operators.lineage import SEPARATOR, lineage, touched
 from claimweave.operators.views import Views
+from claimweave.workspace import unseen
 
 EDGE = ref("edge")
 
@@ -96,6 +97,13 @@ def test_ranges_give_the_same_order_as_one_window(spark, span):
     assert rows(got.na.fill(-1), "k", "o", "n", "next", "prev") == want
 
 
+@pytest.mark.parametrize("few", [0, 100])
+def test_unseen_rows(spark, few):
+    known = Workspace(spark).save(frame(spark, [(1, 2), (3, 4)], ["a", "b"]), "known")
+    found = unseen(frame(spark, [(1, 2), (5, 6), (5, 6), (3, 5)], ["a", "b"]), known, few)
+    assert rows(found) == [(3, 5), (5, 6)]
+
+
 def test_heavy_keys_get_the_same_sizes(spark):
     df = frame(spark, [("hot", i) for i in range(50)] + [(f"k{i}", i) for i in range(20)], ["k", "x"])
     sizes = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
@@ -161,8 +169,6 @@ def test_moves_applied_in_turn(spark):
     states = frame(spark, sorted({(e, "a") for e in want}), ["entity", "state"])
     left = frame(spark, moves, ["entity", "target", "ord"])
     rules = frame(spark, sorted(allowed), ["from_name", "to_name"])
-    from claimweave import Workspace
-
     space, seen = Workspace(spark), 0
     while left.take(1):
         after, outcome, later = checks.apply_moves(states, left, rules)
