@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import functools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from claimweave.workspace import Workspace
 
-__all__ = ["Workspace", "documents", "globally_numbered", "mix", "pick", "table", "text_batches", "words_of"]
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -52,16 +50,6 @@ def globally_numbered(df: DataFrame, order: Sequence[str | Column], work: Worksp
     return numbered.select(*names, "_rank"), stored.rows
 
 
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """Maximal runs of other than ``[\\x20\\x09-\\x0D]``, A-Z lower-cased, as UTF-8."""
-    if not text:
-        return []
-    return text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit moves every output bit."""
     x = x.astype(np.uint64, copy=True)
@@ -73,23 +61,58 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered up to a bound (forgetting costs time only)."""
+def _places(n: int) -> np.ndarray:
+    """Multipliers by place in a word, as many as the longest word needs."""
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def run_hashes(coded: np.ndarray, inside: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the maximal runs where ``inside``, and their running ends by text.
+
+    ``coded``: a 64-bit code of each symbol.  ``ends``: running ends of the texts in symbols;
+    the last symbol of each text must be outside, so no run crosses texts.
+    """
+    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
+    starts, stops = edge[::2], edge[1::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
+    lengths = stops - starts
+    place = np.arange(starts[0], len(coded), dtype=np.int64)
+    place -= np.repeat(starts, np.diff(starts, append=len(coded)))
+    np.minimum(place, lengths.max(), out=place)
+    terms = _places(int(lengths.max()) + 1).take(place)
+    terms *= coded[starts[0] :]
+    terms *= inside[starts[0] :]
+    hashes = mix(np.add.reduceat(terms, starts - starts[0]) + lengths.astype(np.uint64))
+    return hashes, np.searchsorted(starts, ends)
+
+
+_BYTE_CODE = mix(np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint64) + np.uint64(1))
+_BYTE_WORD = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
+
 
-    def __init__(self, limit: int = 500_000):
-        self.known: dict[bytes, int] = {}
-        self.limit = limit
+def plain_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all texts, A-Z lower-cased, and running ends."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"\n".join([*raw, b""]), dtype=np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
+    return run_hashes(_BYTE_CODE.take(data), _BYTE_WORD.take(data), ends)
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
 
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+@functools.cache
+def _word_characters() -> np.ndarray:
+    """Which code points are letters, digits or the underscore."""
+    return np.fromiter((chr(c).isalnum() or c == 95 for c in range(0x110000)), dtype=bool, count=0x110000)
+
+
+def letter_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of word characters of all texts, lower-cased, and running ends."""
+    low = [t.lower() if t else "" for t in texts]
+    data = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    ends = np.cumsum(np.fromiter(map(len, low), np.int64, len(low)) + 1)
+    coded = (data + np.uint32(1)) * np.uint64(0xD6E8FEB86659FD93)
+    coded ^= coded >> np.uint64(32)
+    return run_hashes(coded, _word_characters().take(data), ends)
 
 
 def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -117,6 +140,3 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_0
             size += n
         if start < len(texts):
             yield batch.slice(start), texts[start:]
-
-
-WORD = re.compile(r"\w+")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import WORD, Workspace, documents, mix, pick, shingle_hashes, table, text_batches
+from claimweave.llm.common import documents, letter_words, pick, shingle_hashes, table, text_batches
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -37,67 +37,53 @@ STEP = 1.1
 LEAST_WORDS = 3
 ITEM_BLOCK = 20_000
 BLOCK_WORDS = 32_768
-U = np.uint64
 HIT = "doc_id bigint, item_id bigint, position bigint, similarity double"
 
 
-class Words:
-    """Numbers of words and their 64-bit hashes, forgotten when too many."""
+# The eight bits of a byte as 16-bit counters, four to a number.
+_BYTE_LANES = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1, bitorder="little").astype(np.uint16).view(np.uint64)
 
-    def __init__(self, limit: int = 400_000):
-        self.limit = limit
-        self.clear()
 
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.hashes: list[int] = []
+def lanes(hashes: np.ndarray) -> np.ndarray:
+    """The 64 bits of each hash as 16-bit counters, four to a number: 16 rows of numbers."""
+    split = hashes.astype("<u8").view(np.uint8)
+    return np.ascontiguousarray(_BYTE_LANES.take(split, axis=0).reshape(-1, 16).T)
 
-    def ids(self, words: list[str]) -> np.ndarray:
-        import xxhash
 
-        number = self.number
-        for w in set(words):
-            if w not in number:
-                number[w] = len(self.hashes)
-                self.hashes.append(xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")))
-        return np.fromiter(map(number.__getitem__, words), dtype=np.int32, count=len(words))
+def running(counted: np.ndarray) -> np.ndarray:
+    """Sums of the counters up to each word, one row per word and a zero row first.
 
-    def full(self) -> bool:
-        return len(self.hashes) > self.limit
-
-
-def signs(hashes: np.ndarray) -> np.ndarray:
-    """One row of +1 and -1 per hash."""
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    return (bits.astype(np.int16) * 2 - 1).astype(np.int16)
+    Counters hold up to 65,535 words, so no sum spills into its neighbour.
+    """
+    sums = np.zeros((counted.shape[1] + 1, 16), dtype=np.uint64)
+    sums[1:] = np.cumsum(counted, axis=1, dtype=np.uint64).T
+    return sums
 
 
 def simhashes(sums: np.ndarray, size: int) -> np.ndarray:
-    """Fingerprints of all windows of ``size`` words from running sums (wrapping int16)."""
-    return np.packbits((sums[size:] - sums[:-size]) > 0, axis=1).view(np.uint64).ravel()
+    """Fingerprints of all windows of ``size`` words: bits set in more than half of them."""
+    counts = (sums[size:] - sums[:-size]).view(np.uint16)
+    return np.packbits((counts > size // 2).ravel(), bitorder="little").view(np.uint64)
 
 
 class ItemIndex:
     """The items of one block: size classes, Hamming block tables, shingles and weights."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        words = Words(1 << 62)
-        texts = [(i, WORD.findall((t or "").lower())) for i, t in items]
-        texts = [(i, w) for i, w in texts if len(w) >= LEAST_WORDS]
-        self.ids = np.array([i for i, _ in texts], dtype=np.int64)
-        self.sizes = np.array([len(w) for _, w in texts], dtype=np.int64)
-        hashed = []
-        for _, w in texts:
-            ids = words.ids(w)
-            hashed.append(np.array(words.hashes, dtype=np.uint64)[ids] if len(words.hashes) < 4096 else np.fromiter((words.hashes[k] for k in ids), np.uint64))
+        hashes, ends = letter_words([t for _, t in items])
+        hashed = np.split(hashes, ends[:-1]) if len(items) else []
+        kept = [(i, h) for (i, _), h in zip(items, hashed) if len(h) >= LEAST_WORDS]
+        self.ids = np.array([i for i, _ in kept], dtype=np.int64)
+        hashed = [h for _, h in kept]
+        self.sizes = np.array([len(h) for h in hashed], dtype=np.int64)
         shingled = [np.unique(shingle_hashes(h, WIDTH), return_counts=True) for h in hashed]
         # rarity among the items of the block
         if shingled:
             every, df = np.unique(np.concatenate([s for s, _ in shingled]), return_counts=True)
         else:
             every, df = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.every, self.weight = every, 1.0 + np.log(max(1, len(texts)) / np.maximum(df, 1))
-        self.most = 1.0 + np.log(max(1, len(texts)))
+        self.every, self.weight = every, 1.0 + np.log(max(1, len(kept)) / np.maximum(df, 1))
+        self.most = 1.0 + np.log(max(1, len(kept)))
         self.shingles = [(s, c * self.weights(s)) for s, c in shingled]
         self.classes = []
         order = np.argsort(self.sizes, kind="stable")
@@ -107,7 +93,7 @@ class ItemIndex:
             end = int(np.searchsorted(self.sizes[order], size * STEP, side="right"))
             members = order[at:end]
             prints = np.array(
-                [simhashes(np.vstack([np.zeros((1, 64), np.int16), np.cumsum(signs(hashed[m][:size]), axis=0, dtype=np.int16)]), size)[0] for m in members],
+                [simhashes(running(lanes(hashed[m][:size])), size)[0] for m in members],
                 dtype=np.uint64,
             )
             near = np.zeros((4, 65536), dtype=bool)
@@ -123,62 +109,64 @@ class ItemIndex:
         at = np.minimum(np.searchsorted(self.every, shingles), len(self.every) - 1)
         return np.where(self.every[at] == shingles, self.weight[at], self.most)
 
-    def similarity(self, item: int, hashes: np.ndarray) -> float:
-        """Weighted Jaccard similarity of an item and a run of words."""
-        s, c = np.unique(shingle_hashes(hashes, WIDTH), return_counts=True)
-        w = c * self.weights(s)
+    def similarity(self, item: int, run: np.ndarray) -> float:
+        """Weighted Jaccard similarity of an item and a run of shingles."""
         t, v = self.shingles[item]
+        at = np.minimum(np.searchsorted(t, run), len(t) - 1)
+        if not (t[at] == run).any():
+            return 0.0
+        s, c = np.unique(run, return_counts=True)
+        w = c * self.weights(s)
         _, a, b = np.intersect1d(s, t, assume_unique=True, return_indices=True)
         both = np.minimum(w[a], v[b]).sum()
         return float(both / (w.sum() + v.sum() - both))
 
-    def search(self, hashes: np.ndarray, bits: np.ndarray, ends: np.ndarray) -> dict[tuple[int, int], tuple[float, int]]:
-        """Best (similarity, -word) for each (text, item); ``ends``: running ends of the texts."""
+    def search(
+        self, words: np.ndarray, ends: np.ndarray
+    ) -> dict[tuple[int, int], tuple[float, int]]:
+        """Best (similarity, -word) for each (text, item), from the hashed words of all texts."""
         found: dict[tuple[int, int], tuple[float, int]] = {}
-        if not self.classes or not len(hashes):
+        if not self.classes or not len(words):
             return found
         longest = max(c[0] for c in self.classes)
         starts = np.concatenate([[0], ends[:-1]])
-        for low in range(0, len(hashes), BLOCK_WORDS):
-            part = bits[low : low + BLOCK_WORDS + longest - 1]
-            sums = np.zeros((len(part) + 1, 64), dtype=np.int16)
-            np.cumsum(part, axis=0, dtype=np.int16, out=sums[1:])
+        shingles = shingle_hashes(words, WIDTH)
+        for low in range(0, len(words), BLOCK_WORDS):
+            part = words[low : low + BLOCK_WORDS + longest - 1]
+            sums = running(lanes(part))
             for size, members, prints, near in self.classes:
                 if len(part) < size:
                     continue
                 windows = simhashes(sums, size)[:BLOCK_WORDS]
                 block = windows.view(np.uint16).reshape(-1, 4)
-                hit = near[0][block[:, 0]]
+                hit = near[0].take(block[:, 0])
                 for k in (1, 2, 3):
-                    hit |= near[k][block[:, k]]
+                    hit |= near[k].take(block[:, k])
                 where = np.flatnonzero(hit)
-                if not len(where):
-                    continue
                 text = np.searchsorted(ends, where + low, side="right")
-                inside = where + low + size <= ends[text]
-                where, text = where[inside], text[inside]
-                for w, d in zip(where.tolist(), text.tolist()):
-                    close = np.flatnonzero(np.bitwise_count(prints ^ windows[w]) <= RADIUS)
-                    for m in members[close].tolist():
-                        begin = w + low
-                        score = self.similarity(m, hashes[begin : min(begin + int(self.sizes[m]), int(ends[d]))])
-                        best = (score, int(starts[d]) - begin)
-                        if score >= SIMILARITY and best > found.get((d, m), (0.0, 0)):
-                            found[d, m] = best
+                where = where[where + low + size <= ends[text]]
+                # in steps, so that the table of candidates stays small
+                for at in range(0, len(where), max(1, 4_000_000 // len(prints))):
+                    some = where[at : at + max(1, 4_000_000 // len(prints))]
+                    close = np.bitwise_count(windows[some][:, None] ^ prints[None, :]) <= RADIUS
+                    for w, m in zip(*np.nonzero(close)):
+                        begin, item = int(some[w]) + low, int(members[m])
+                        d = int(np.searchsorted(ends, begin, side="right"))
+                        end = min(begin + int(self.sizes[item]), int(ends[d]))
+                        if end - begin >= WIDTH:
+                            run = shingles[begin : end - WIDTH + 1]
+                        else:
+                            run = shingle_hashes(words[begin:end], WIDTH)
+                        best = (self.similarity(item, run), int(starts[d]) - begin)
+                        if best[0] >= SIMILARITY and best > found.get((d, item), (0.0, 0)):
+                            found[d, item] = best
         return found
 
 
 def _scan(index: ItemIndex):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch, texts in text_batches(batches, "text", 2_000_000):
-            if words.full():
-                words.clear()
-            split = [WORD.findall(t.lower()) if t else [] for t in texts]
-            ends = np.cumsum([len(w) for w in split])
-            ids = words.ids([w for part in split for w in part])
-            known = np.array(words.hashes, dtype=np.uint64)
-            found = index.search(known[ids], signs(known)[ids], ends)
+            found = index.search(*letter_words(texts))
             if not found:
                 continue
             doc = batch.column(0).cast(pa.int64()).to_pylist()

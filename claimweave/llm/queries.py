@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from claimweave.llm.bpe import op5_byte_bpe
+from claimweave.llm.decontaminate import op10_benchmark_hits
+from claimweave.llm.phrases import op3_phrase_fingerprints
+from claimweave.llm.sharding import SQL as SHARD_SQL
 from claimweave.llm.sharding import op1_hilbert_shards
 from claimweave.llm.url_rules import op4_url_rules
 
@@ -14,8 +17,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_hilbert_shards,
+        op3_phrase_fingerprints,
         op4_url_rules,
         op5_byte_bpe,
+        op10_benchmark_hits,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_hilbert_shards": SHARD_SQL}

@@ -248,13 +248,24 @@ def _sql(bits: int = BITS, n_shards: int = SHARDS) -> str:
     index = " + ".join(
         f"((p{i} >> {b}) & 1) * {1 << (3 * b + 2 - i)}" for b in range(bits - 1, -1, -1) for i in range(3)
     )
-    return f"""WITH {', '.join(steps)},
+    # CRC-32 byte by byte over the table of its generator
+    steps = [
+        "gen AS (SELECT i, 0 AS k, i::BIGINT AS c FROM range(256) r(i) UNION ALL SELECT i, k + 1, "
+        "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM gen WHERE k < 8)",
+        "tab AS (SELECT list(c ORDER BY i) AS tab FROM gen WHERE k = 8)",
+        *steps,
+    ]
+    crc = (
+        "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen(body)), "
+        "lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), "
+        "lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+    )
+    return f"""WITH RECURSIVE {', '.join(steps)},
         h AS (SELECT doc_id, size, body, ({index})::BIGINT AS curve FROM x{at}),
         r AS (SELECT *, row_number() OVER (ORDER BY curve, doc_id) - 1 AS r, count(*) OVER () AS n FROM h),
-        bytes_ AS (SELECT doc_id, curve, size, r, n, body, (r * {n_shards} // n) AS sh FROM r)
-        SELECT doc_id, size, 'rows' AS law, sh::INTEGER AS shard,
-            (r - (sh * n + {n_shards - 1}) // {n_shards})::BIGINT AS slot, NULL::INTEGER AS grown_shard, curve FROM bytes_"""
+        cut AS (SELECT doc_id, curve, size, r, n, body, hex(encode(body)) AS h, (r * {n_shards} // n) AS sh FROM r)
+        SELECT doc_id, size, {crc} AS text_crc32, 'rows' AS law, sh::INTEGER AS shard,
+            (r - (sh * n + {n_shards - 1}) // {n_shards})::BIGINT AS slot, NULL::INTEGER AS grown_shard, curve FROM cut, tab"""
 
 
-# DuckDB has no CRC-32, so text_crc32 cannot be stated in SQL; tests compare the other columns.
-SQL_WITHOUT_CRC = _sql()
+SQL = _sql()
