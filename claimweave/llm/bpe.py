@@ -40,13 +40,13 @@ class ByteBpe:
 
     def __init__(self, vocabulary: str, pattern: str):
         import regex
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(vocabulary)
-        self.library.encode_special_tokens = True
-        self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model = self.library.model
         self.split = regex.compile(pattern).findall
         table = byte_alphabet()
+        self.printable = str.maketrans({chr(b): c for c, b in table.items()})
         special = {i for i, t in self.library.get_added_tokens_decoder().items() if t.special}
         self.bytes_of = {
             i: t.encode() if i in special else bytes(table[c] for c in t) for t, i in self.library.get_vocab().items()
@@ -54,12 +54,13 @@ class ByteBpe:
         self.pieces: dict[str, tuple[int, ...]] = {}
 
     def learn(self, pieces: Iterable[str]) -> None:
-        new = [p for p in pieces if p not in self.pieces]
+        """Encode the pieces not met yet, each as one run of mapped bytes."""
         if len(self.pieces) > REMEMBERED:
             self.pieces.clear()
-            new = list(pieces)
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self.pieces[p] = tuple(e.ids)
+        for p in pieces:
+            if p not in self.pieces:
+                mapped = p.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.printable)
+                self.pieces[p] = tuple([t.id for t in self.model.tokenize(mapped)])
 
     def encode(self, text: str | None) -> list[int]:
         parts = self.split(text or "")
@@ -94,14 +95,12 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         bpe = _encoder(vocabulary, pattern)
         known: dict[str, tuple[int, str, bytes]] = {}
         for batch, texts in text_batches(batches, "text"):
-            split = [bpe.split(t or "") for t in texts]
             rows = []
-            for parts in split:
-                distinct = set(parts)
-                new = distinct - known.keys()
+            for text in texts:
+                parts = bpe.split(text or "")
                 if len(known) > REMEMBERED:
                     known.clear()
-                    new = distinct
+                new = [p for p in set(parts) if p not in known]
                 bpe.learn(new)
                 for p in new:
                     ids = bpe.pieces[p]
@@ -109,7 +108,7 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                 found = list(map(known.__getitem__, parts))
                 ids_text = " ".join([f[1] for f in found])
                 rows.append((
-                    sum(f[0] for f in found),
+                    sum([f[0] for f in found]),
                     hashlib.sha256(ids_text.encode()).hexdigest(),
                     hashlib.sha256(b"".join([f[2] for f in found])).hexdigest(),
                 ))
