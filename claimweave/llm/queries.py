@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from claimweave.llm.bpe import op5_byte_bpe
 from claimweave.llm.decontaminate import op10_benchmark_hits
+from claimweave.llm.jaccard_join import op2_ngram_jaccard_join
 from claimweave.llm.phrases import op3_phrase_fingerprints
+from claimweave.llm.pii import op9_personal_data
 from claimweave.llm.sharding import SQL as SHARD_SQL
 from claimweave.llm.sharding import op1_hilbert_shards
 from claimweave.llm.url_rules import op4_url_rules
@@ -17,9 +19,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_hilbert_shards,
+        op2_ngram_jaccard_join,
         op3_phrase_fingerprints,
         op4_url_rules,
         op5_byte_bpe,
+        op9_personal_data,
         op10_benchmark_hits,
     )
 }
