@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from claimweave.llm.bpe import op5_byte_bpe
 from claimweave.llm.decontaminate import op10_benchmark_hits
 from claimweave.llm.jaccard_join import op2_ngram_jaccard_join
+from claimweave.llm.licenses import SQL as LICENSE_SQL
+from claimweave.llm.licenses import op8_license_digests
 from claimweave.llm.phrases import op3_phrase_fingerprints
 from claimweave.llm.pii import op9_personal_data
+from claimweave.llm.quality import op6_quality
+from claimweave.llm.secrets import op7_secret_forest
 from claimweave.llm.sharding import SQL as SHARD_SQL
 from claimweave.llm.sharding import op1_hilbert_shards
 from claimweave.llm.url_rules import op4_url_rules
@@ -23,8 +27,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_phrase_fingerprints,
         op4_url_rules,
         op5_byte_bpe,
+        op6_quality,
+        op7_secret_forest,
+        op8_license_digests,
         op9_personal_data,
         op10_benchmark_hits,
     )
 }
-SQL: dict[str, str] = {"op1_hilbert_shards": SHARD_SQL}
+SQL: dict[str, str] = {"op1_hilbert_shards": SHARD_SQL, "op8_license_digests": LICENSE_SQL}
