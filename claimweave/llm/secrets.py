@@ -88,7 +88,7 @@ def scanned(docs: DataFrame, findings: DataFrame | None = None, threshold: float
 
     ``findings``: the features and a ``label`` (0 or 1); made by rule where not given.
     """
-    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
@@ -100,7 +100,10 @@ def scanned(docs: DataFrame, findings: DataFrame | None = None, threshold: float
         return rows.select("doc_id", "place", "run", F.lit(None).cast("double").alias("score"))
     vector = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
     forest = RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=24, maxDepth=6, seed=7)
-    model = forest.fit(vector.transform(labelled.df()))
+    # written and read again: a fitted model holds its training frames, the read one does not
+    path = work.path("forest")
+    forest.fit(vector.transform(labelled.df())).write().save(path)
+    model = RandomForestClassificationModel.load(path)
     scored = model.transform(vector.transform(rows)).withColumn("score", F.round(F.get(vector_to_array("probability"), F.lit(1)), 6))
     return scored.filter(F.col("score") >= threshold).select("doc_id", "place", "run", "score")
 
