@@ -11,10 +11,12 @@ entered under those.  Below it lie leaves of at most ``LEAF`` points with their
 bucket of any size is cut into leaves by a range sort; leaf pairs are bounded by their boxes,
 point pairs by their vectors, and what is left is verified on the whole sets.
 
-Links are wanted for their components, so buckets are first contracted: a few rounds verify
-each member against one leader per bucket, and only points of one bucket in different
-components reach the tree.  There every pair that the bounds allow is verified, so no link
-between components is lost, and no group's pairs are all listed.
+Links are wanted for their components.  First each leaf gives only a spanning forest of the
+pairs that the bounds allow, and those are verified.  Where every pair of a forest links,
+its points are one component and nothing is left to do; points of the forests that broke
+go through the tree again, which then gives every allowed pair of different components, in
+a leaf or across leaves.  So no link between components is lost, and no group's pairs are
+all listed.
 
 Equal sets are one point.  Defined cases: a null or wordless text has the empty set, links
 to nothing and is its own component (its doc_id, null if that is null); a text with fewer
@@ -37,10 +39,9 @@ from claimweave.llm.common import Workspace, documents, pick, plain_words, shing
 
 GROUPS = 64
 LEAF = 256
-LEADER_ROUNDS = 3
 # A shingle in more than one of this many texts is common; at most words per text times
 # this many can be, which bounds what is broadcast.
-COMMON_SHARE = 2_000
+COMMON_SHARE = 20_000
 COMMON_LEAST = 50
 
 
@@ -95,6 +96,19 @@ def common_shingles(docs: DataFrame, width: int, work: Workspace) -> np.ndarray:
     return np.sort(rows["shingle"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """A count vector in one, two or four bytes a coordinate."""
+    top = int(counts.max())
+    return counts.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4").tobytes()
+
+
+def _unpacked(vecs: list[bytes]) -> np.ndarray:
+    out = np.empty((len(vecs), GROUPS), dtype=np.int64)
+    for i, v in enumerate(vecs):
+        out[i] = np.frombuffer(v, dtype=f"<u{len(v) // GROUPS}")
+    return out
+
+
 POINT = "doc_id bigint, h bigint, digest binary, n bigint, vec binary, keys array<bigint>"
 
 
@@ -119,7 +133,7 @@ def points(docs: DataFrame, like: Similar, common: np.ndarray) -> DataFrame:
                 else:
                     k = s[:first]
                 keys.append(k.view(np.int64))
-                vecs.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes())
+                vecs.append(_packed(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS)))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             ends = np.cumsum([0, *map(len, keys)])
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
@@ -138,43 +152,6 @@ def points(docs: DataFrame, like: Similar, common: np.ndarray) -> DataFrame:
     return pick(docs, "doc_id", "text").withColumn("h", F.xxhash64("text")).mapInArrow(run, POINT)
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node) sorted by key and order: those of keys with two nodes or more, each
-    with the first node of its key.  One row is held back until the next is seen."""
-    held = None
-    for batch in batches:
-        key = batch.column(0).to_numpy()
-        node = batch.column(1).to_numpy()
-        if not len(key):
-            continue
-        goes_on, leader = False, node[:1]
-        if held is not None:
-            k, n, lead, goes_on = held
-            key, node = np.concatenate([[k], key]), np.concatenate([[n], node])
-            leader = np.array([lead])
-        same = key[1:] == key[:-1]
-        start = np.concatenate([[0], np.where(same, 0, np.arange(1, len(key)))])
-        start = np.maximum.accumulate(start)
-        leads = np.where(start == 0, leader[0], node[start])
-        shared = np.zeros(len(key), dtype=bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        shared[0] |= goes_on
-        held = (key[-1], node[-1], leads[-1], bool(same[-1]) if len(same) else goes_on)
-        keep = np.flatnonzero(shared[:-1])
-        if len(keep):
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep].astype(np.int64)) for x in (key, node, leads)], names=["key", "node", "leader"])
-    if held is not None and held[3]:
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([x], dtype=np.int64)) for x in held[:3]], names=["key", "node", "leader"])
-
-
-def led(rows: DataFrame, turn: int) -> DataFrame:
-    """(key, node, leader) of the keys with several nodes; the leader changes with ``turn``."""
-    order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-    ordered = rows.select("key", "node").repartition("key").sortWithinPartitions("key", order, "node")
-    return ordered.mapInArrow(_buckets, "key bigint, node bigint, leader bigint")
-
-
 def verified(pairs: DataFrame, sets: DataFrame, like: Similar) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
 
@@ -229,28 +206,87 @@ LEAVES = (
 )
 
 
+def _allowed(like: Similar, size: int, vec: np.ndarray, sizes: np.ndarray, vecs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which points may link to one, by size and by summed minima; the summed minima."""
+    may = np.minimum(vec, vecs).sum(axis=1)
+    ok = (may >= like.least_overlap(size, sizes)) & (like.den * np.minimum(sizes, size) >= like.num * np.maximum(sizes, size))
+    return ok, may
+
+
 def _near(like: Similar, one: tuple, two: tuple | None) -> tuple[list[int], list[int], list[int]]:
     """Pairs of different components that the bound allows, inside one leaf or across two."""
     nodes, comps, sizes, vecs = one
     a, b, bound = [], [], []
     for i in range(len(nodes)):
         n2, c2, s2, v2 = (nodes[i + 1 :], comps[i + 1 :], sizes[i + 1 :], vecs[i + 1 :]) if two is None else two
-        may = np.minimum(vecs[i], v2).sum(axis=1)
-        ok = (c2 != comps[i]) & (may >= like.least_overlap(sizes[i], s2))
-        ok &= like.den * np.minimum(s2, sizes[i]) >= like.num * np.maximum(s2, sizes[i])
-        for j in np.flatnonzero(ok):
+        ok, may = _allowed(like, sizes[i], vecs[i], s2, v2)
+        for j in np.flatnonzero(ok & (c2 != comps[i])):
             a.append(int(nodes[i]))
             b.append(int(n2[j]))
             bound.append(int(may[j]))
     return a, b, bound
 
 
+def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[list, bool]]:
+    """Rows sorted by key as leaves: rows of one key, at most ``LEAF``; and whether the key
+    may have other leaves (it is cut, or it is the first or last of its task)."""
+    part: list = []
+    first, cut = True, False
+    for batch in batches:
+        for row in zip(*[batch.column(k).to_pylist() for k in range(columns)]):
+            if part and row[0] != part[0][0]:
+                yield part, first or cut
+                part, first, cut = [], False, False
+            elif len(part) >= LEAF:
+                cut = True
+                yield part, True
+                part = []
+            part.append(row)
+    if part:
+        yield part, True
+
+
+FOREST = "a bigint, b bigint, key bigint"
+
+
+def _forest(like: Similar):
+    """Per leaf: a spanning forest (a, b) of the pairs that the bounds allow, and for a key
+    that may have other leaves each point with its key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for part, several in _runs(batches, 4):
+            if several:
+                out += [(r[1], None, r[0]) for r in part]
+            if len(part) > 1:
+                nodes, sizes = (np.array([r[k] for r in part], dtype=np.int64) for k in (1, 2))
+                vecs = _unpacked([r[3] for r in part])
+                own = np.arange(len(part))
+                for i in range(len(part) - 1):
+                    ok = (own[i + 1 :] != own[i]) & _allowed(like, sizes[i], vecs[i], sizes[i + 1 :], vecs[i + 1 :])[0]
+                    for j in (np.flatnonzero(ok) + i + 1).tolist():
+                        if own[j] != own[i]:
+                            out.append((int(nodes[i]), int(nodes[j]), None))
+                            own[own == own[j]] = own[i]
+            if len(out) > 20_000:
+                yield _columns(out, FOREST)
+                out = []
+        if out:
+            yield _columns(out, FOREST)
+
+    return run
+
+
+def _columns(rows: list[tuple], names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=[n.split()[0] for n in names.split(", ")])
+
+
 def _pack(like: Similar):
-    """Rows sorted by (key, size) to leaves: runs of one key, at most ``LEAF`` points each."""
+    """Rows sorted by (key, size) to leaves with their boxes and their own pairs."""
 
     def leaf_of(key: int, part: list, number: int) -> dict:
         nodes, comps, sizes = (np.array([r[k] for r in part], dtype=np.int64) for k in (1, 2, 3))
-        vecs = np.frombuffer(b"".join(r[4] for r in part), dtype="<u4").reshape(-1, GROUPS).astype(np.int64)
+        vecs = _unpacked([r[4] for r in part])
         a, b, bound = _near(like, (nodes, comps, sizes, vecs), None)
         return {
             "key": key, "leaf": number, "low": int(sizes.min()), "high": int(sizes.max()), "box": vecs.max(axis=0).tolist(),
@@ -262,25 +298,15 @@ def _pack(like: Similar):
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 33
-        part: list = []
-
-        def flush(out: list) -> None:
-            nonlocal number, part
-            if part:
-                out.append(leaf_of(part[0][0], part, number))
-                number += 1
-            part = []
-
-        for batch in batches:
-            out: list = []
-            for row in zip(*[batch.column(k).to_pylist() for k in range(5)]):
-                if part and (row[0] != part[0][0] or len(part) >= LEAF):
-                    flush(out)
-                part.append(row)
-            if out:
+        out: list = []
+        for part, several in _runs(batches, 5):
+            if not several and len(part) == 1:
+                continue
+            out.append(leaf_of(part[0][0], part, number))
+            number += 1
+            if len(out) >= 100:
                 yield pa.RecordBatch.from_pylist(out, schema=_leaf_schema())
-        out = []
-        flush(out)
+                out = []
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=_leaf_schema())
 
@@ -293,15 +319,18 @@ def _leaf_schema() -> pa.Schema:
     return pa.schema([(c.split()[0], kinds.get(c.split()[0], pa.int64())) for c in LEAVES.split(", ")])
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Range-sorted by key and size, so that a key of any size is spread over tasks."""
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(width, "key", "n", "node").sortWithinPartitions("key", "n", "node")
+
+
 def tree_pairs(rows: DataFrame, like: Similar, work: Workspace) -> DataFrame:
     """(a, b, bound): pairs of one bucket and different components within the bounds.
 
     ``rows``: key, node, comp, n, vec.
     """
-    spark = rows.sparkSession
-    ordered = rows.select("key", "node", "comp", "n", "vec")
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ordered.repartitionByRange(width, "key", "n", "node").sortWithinPartitions("key", "n", "node")
+    ordered = _dealt(rows.select("key", "node", "comp", "n", "vec"))
     leaves = work.save(ordered.mapInArrow(_pack(like), LEAVES), "leaves").df()
     inside = leaves.select(F.explode(F.arrays_zip("a", "b", "bound")).alias("x")).select("x.a", "x.b", "x.bound")
     several = leaves.groupBy("key").count().filter("count > 1").select("key")
@@ -351,48 +380,39 @@ def components(docs: DataFrame, like: Similar = Similar()) -> DataFrame:
         .withColumn("node", F.monotonically_increasing_id())
     )
     reps = work.save(reps, "reps").df()
-    entered = reps.select(F.explode("keys").alias("key"), "node")
-    buckets = work.save(led(entered, 0), "buckets")
-    rows = buckets.df()
-    comp = None
-    links = None
-    if buckets.rows:
-        shared = rows.select("node").distinct()
-        wanted = reps.join(shared, "node", "left_semi").select("node", "digest", F.col("rep.doc_id").alias("_id"), F.col("rep.h").alias("_h"))
-        sets = _sets(docs, wanted, like.width, work)
-        for turn in range(LEADER_ROUNDS):
-            if turn == 0:
-                pairs = rows.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-            else:
-                apart = _apart(rows, comp)
-                named = comp.select(F.col("node").alias("leader"), F.col("comp").alias("lead_comp"))
-                stars = led(apart, turn).filter("node <> leader").select("node", "leader").distinct()
-                stars = stars.join(comp, "node", "left").join(named, "leader", "left").select(
-                    F.col("node").alias("a"), F.col("leader").alias("b"), F.coalesce("comp", "node").alias("ca"), F.coalesce("lead_comp", "leader").alias("cb")
-                )
-                pairs = _one_per_components(stars.filter("ca <> cb"), F.xxhash64("a", "b"))
-            found = work.save(verified(pairs, sets, like), f"links{turn}")
-            links = found if links is None else links.plus(found)
-            if found.rows == 0:
-                break
-            comp = work.save(connected(links.df(), work), "comp").df()
-        if comp is None:
-            comp = spark.createDataFrame([], "node bigint, comp bigint")
-        apart = _apart(rows, comp).join(reps.select("node", "n", "vec"), "node")
-        pairs = work.save(tree_pairs(apart, like, work), "pairs")
-        for last in (False, True):
-            if pairs.rows == 0:
-                break
-            left = pairs.df().join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left")
-            left = left.join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
-            left = left.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).filter("ca <> cb")
-            # first the likeliest pair of each two components, then all that are still apart
-            found = work.save(verified(left if last else _one_per_components(left, -F.col("bound")), sets, like), "more")
-            if found.rows:
-                links = links.plus(found)
-                comp = work.save(connected(links.df(), work), "comp").df()
-    if comp is None:
-        comp = spark.createDataFrame([], "node bigint, comp bigint")
+    entered = reps.select(F.explode("keys").alias("key"), "node", "n", "vec")
+    forest = work.save(_dealt(entered).mapInArrow(_forest(like), FOREST), "forest").df()
+    pairs = work.save(forest.filter("b IS NOT NULL").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("n")), "pairs")
+    cut = forest.filter("key IS NOT NULL").select("key", F.col("a").alias("node"))
+    several = cut.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("_hi")).filter("b <> _hi").drop("_hi")
+    together = cut.join(several, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    together = work.save(together, "together")
+    comp = spark.createDataFrame([], "node bigint, comp bigint")
+    if pairs.rows or together.rows:
+        links = work.save(_verify(pairs.df(), docs, reps, like, work), "links")
+        comp = work.save(connected(links.df(), work), "comp").df() if links.rows else comp
+        kin = work.save(connected(pairs.df().select("a", "b").unionByName(together.df()), work), "kin").df()
+        kin = kin.select("node", F.col("comp").alias("kin")).join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        broken = kin.groupBy("kin").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi").select("kin")
+        still = kin.join(broken, "kin").select("node", "comp")
+        apart = work.save(still, "apart")
+        if apart.rows:
+            rows = reps.join(apart.df(), "node").select(F.explode("keys").alias("key"), "node", "comp", "n", "vec")
+            left = work.save(tree_pairs(rows, like, work).join(pairs.df().select("a", "b"), ["a", "b"], "left_anti"), "left")
+            for last in (False, True):
+                if left.rows == 0:
+                    break
+                open_ = left.df().join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left")
+                open_ = open_.join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
+                open_ = open_.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).filter("ca <> cb")
+                # first the likeliest pair of each two components, then all that are still apart
+                wanted = work.save(open_.select("a", "b") if last else _one_per_components(open_, -F.col("bound")), "wanted")
+                if wanted.rows == 0:
+                    break
+                found = work.save(_verify(wanted.df(), docs, reps, like, work), "more")
+                if found.rows:
+                    links = links.plus(found)
+                    comp = work.save(connected(links.df(), work), "comp").df()
     member = reps.select("node", "digest", "least").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = member.groupBy("comp").agg(F.min("least").alias("component_id"))
     by_digest = member.join(named, "comp").select("digest", "component_id")
@@ -409,11 +429,10 @@ def _one_per_components(pairs: DataFrame, order) -> DataFrame:
     return best.select("x.a", "x.b")
 
 
-def _apart(rows: DataFrame, comp: DataFrame) -> DataFrame:
-    """(key, node, comp) of the buckets that still hold several components."""
-    named = rows.select("key", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    split = named.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi").select("key")
-    return named.join(split, "key")
+def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, like: Similar, work: Workspace) -> DataFrame:
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = reps.join(nodes, "node", "left_semi").select("node", F.col("rep.doc_id").alias("_id"), F.col("rep.h").alias("_h"))
+    return verified(pairs, _sets(docs, wanted, like.width, work), like)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int, work: Workspace) -> DataFrame:
