@@ -389,7 +389,13 @@ def components(docs: DataFrame, like: Similar = Similar()) -> DataFrame:
     together = work.save(together, "together")
     comp = spark.createDataFrame([], "node bigint, comp bigint")
     if pairs.rows or together.rows:
-        links = work.save(_verify(pairs.df(), docs, reps, like, work), "links")
+        # every later pair is of these points, so texts move once
+        ends = pairs.df().select("a", "b").unionByName(together.df())
+        nodes = ends.select(F.col("a").alias("node")).unionByName(ends.select(F.col("b").alias("node"))).distinct()
+        nodes = work.save(nodes, "nodes")
+        wanted = reps.join(nodes.df(), "node", "left_semi").select("node", F.col("rep.doc_id").alias("_id"), F.col("rep.h").alias("_h"))
+        sets = _sets(docs, wanted, nodes.rows, like.width, work)
+        links = work.save(verified(pairs.df(), sets, like), "links")
         comp = work.save(connected(links.df(), work), "comp").df() if links.rows else comp
         kin = work.save(connected(pairs.df().select("a", "b").unionByName(together.df()), work), "kin").df()
         kin = kin.select("node", F.col("comp").alias("kin")).join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -409,7 +415,7 @@ def components(docs: DataFrame, like: Similar = Similar()) -> DataFrame:
                 wanted = work.save(open_.select("a", "b") if last else _one_per_components(open_, -F.col("bound")), "wanted")
                 if wanted.rows == 0:
                     break
-                found = work.save(_verify(wanted.df(), docs, reps, like, work), "more")
+                found = work.save(verified(wanted.df(), sets, like), "more")
                 if found.rows:
                     links = links.plus(found)
                     comp = work.save(connected(links.df(), work), "comp").df()
@@ -429,13 +435,7 @@ def _one_per_components(pairs: DataFrame, order) -> DataFrame:
     return best.select("x.a", "x.b")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, like: Similar, work: Workspace) -> DataFrame:
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = reps.join(nodes, "node", "left_semi").select("node", F.col("rep.doc_id").alias("_id"), F.col("rep.h").alias("_h"))
-    return verified(pairs, _sets(docs, wanted, like.width, work), like)
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, width: int, work: Workspace) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, width: int, work: Workspace) -> DataFrame:
     """(node, set) of the wanted points, read again from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,7 +446,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, work: Workspace) -> Da
     texts = pick(docs, "doc_id", "text").withColumn("h", F.xxhash64("text"))
     met = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
     found = met.select("node", "text").mapInArrow(run, "node bigint, set binary")
-    return work.save(found.dropDuplicates(["node"]), "sets").df()
+    stored = work.save(found, "sets")
+    # more rows than points only where rows of the table repeat
+    return stored.df() if stored.rows <= n_wanted else work.save(stored.df().dropDuplicates(["node"]), "sets-once").df()
 
 
 def near_duplicates_removed(docs: DataFrame, like: Similar = Similar()) -> DataFrame:
