@@ -82,7 +82,7 @@ def is_long_value(column: Column) -> Column:
 
 def short_literal(column: Column) -> Column:
     """The literal held inside a short value id; NULL for anything else."""
-    return F.when(column.rlike(r"^v:[a-z]:"), F.substring(column, 5, 1_000_000))
+    return F.when(column.rlike(r"^v:[a-z]:"), F.substr(column, F.lit(5)))
 
 
 def short_literal_type(column: Column) -> Column:

@@ -65,11 +65,15 @@ class ClaimGraph:
     def with_claims(self, more: DataFrame, txs: DataFrame | None = None) -> "ClaimGraph":
         """The graph after appending ``more`` claims.
 
+        Transactions known so far keep their agents; of ``more``, unknown ones are added.
         Lazy: for a chain of changes commit each one to a store and read the graph back,
         so that plans do not grow with the number of changes.
         """
         merged = self.claims.unionByName(more)
-        merged_txs = self.txs.unionByName(txs) if txs is not None else None
+        if txs is None:
+            fresh = more.groupBy("tx_id").agg(F.min("tx_seq").alias("seq")).join(self.txs, "tx_id", "left_anti")
+            txs = fresh.select("tx_id", "seq", F.lit(None).cast("string").alias("agent"))
+        merged_txs = self.txs.unionByName(txs)
         new_values = self.values.unionByName(values_in(more)).distinct()
         return ClaimGraph(merged, new_values, merged_txs, self.rules)
 

@@ -10,9 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.workspace import Stored, Workspace, unseen
-
-MAX_ROUNDS = 10_000
+from claimweave.workspace import Stored, Workspace, unseen, rounds
 
 
 def _edges(edges: DataFrame, src: str, dst: str) -> DataFrame:
@@ -24,7 +22,7 @@ def transitive_closure(
     src: str = "src",
     dst: str = "dst",
     workspace: Workspace | None = None,
-    max_rounds: int = MAX_ROUNDS,
+    max_rounds: int | None = None,
     squaring: bool = False,
 ) -> DataFrame:
     """Pairs ``(src, dst)`` joined by a path, with ``depth`` = length of the shortest one.
@@ -39,7 +37,7 @@ def transitive_closure(
     steps = base.df().select(F.col("src").alias("mid"), F.col("dst").alias("next"))
     delta = space.save(base.df().withColumn("depth", F.lit(1)), "paths")
     known = delta
-    for depth in range(2, max_rounds + 2):
+    for depth in rounds(2, max_rounds):
         if delta.rows == 0:
             return known.df()
         reached = (
@@ -54,9 +52,9 @@ def transitive_closure(
     raise RuntimeError(f"closure not finished after {max_rounds} rounds")
 
 
-def _closure_by_squaring(space: Workspace, base: Stored, max_rounds: int) -> DataFrame:
+def _closure_by_squaring(space: Workspace, base: Stored, max_rounds: int | None) -> DataFrame:
     known, delta = base, base
-    for _ in range(max_rounds):
+    for _ in rounds(1, max_rounds):
         if delta.rows == 0:
             return known.df()
         new, full = delta.df(), known.df()
@@ -80,7 +78,7 @@ def reach(
     keep_root: bool = False,
     include_seeds: bool = True,
     workspace: Workspace | None = None,
-    max_rounds: int = MAX_ROUNDS,
+    max_rounds: int | None = None,
 ) -> DataFrame:
     """Nodes reachable from ``seeds`` (column ``node``), with their smallest depth.
 
@@ -97,7 +95,7 @@ def reach(
         first = first.withColumn("root", F.col("node")).select("root", "node")
     delta = space.save(first.withColumn("depth", F.lit(0)), "frontier")
     known = delta
-    for depth in range(1, max_rounds + 1):
+    for depth in rounds(1, max_rounds):
         if delta.rows == 0:
             found = known.df()
             return found if include_seeds else found.filter(F.col("depth") > 0)

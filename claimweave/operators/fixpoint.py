@@ -10,9 +10,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from claimweave.graph import BASE_RELATIONS, ClaimGraph
 from claimweave.operators.conjunctive import bind_atom, graph_frames, head_tuples, join_body
 from claimweave.rules import Atom, Rule
-from claimweave.workspace import Stored, Workspace, unseen
-
-MAX_ROUNDS = 10_000
+from claimweave.workspace import Stored, Workspace, unseen, rounds
 
 
 def columns_of(arity: int) -> list[str]:
@@ -116,7 +114,7 @@ def run_rounds(
     full: dict[str, Stored],
     delta: dict[str, Stored],
     space: Workspace,
-    max_rounds: int = MAX_ROUNDS,
+    max_rounds: int | None = None,
     within: dict[str, DataFrame] | None = None,
     heads: set[str] | None = None,
 ) -> tuple[dict[str, Stored], dict[str, Stored]]:
@@ -131,7 +129,7 @@ def run_rounds(
         for r in program.rules
         if (heads is None or r.head.rel in heads) and (within is None or r.head.rel in within)
     ]
-    for _ in range(max_rounds):
+    for _ in rounds(1, max_rounds):
         if all(s.rows == 0 for s in delta.values()):
             return full, added
         candidates: dict[str, list[DataFrame]] = {}
@@ -177,7 +175,7 @@ def evaluate(
     program: RuleProgram,
     frames: Callable[[Atom], DataFrame],
     space: Workspace,
-    max_rounds: int = MAX_ROUNDS,
+    max_rounds: int | None = None,
 ) -> dict[str, Stored]:
     """All relations, stratum by stratum; only recursive strata need delta rounds."""
     full = {rel: space.empty(program.schema(rel)) for rel in program.arity}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,11 @@ def shared_folder(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
+def rounds(first: int, most: int | None) -> Iterable[int]:
+    """Numbers of the rounds of a loop that ends by itself; ``most`` only where it is asked for."""
+    return itertools.count(first) if most is None else range(first, first + most)
+
+
 class Workspace:
     """Parquet tables written once per round of an iterative job.
 

@@ -182,3 +182,23 @@ def test_newest_is_by_insertion_not_by_transaction_text(spark):
     data = [(f"c:{i}", "x", "p", f"v:i:{i}", f"t:{i}", i, i) for i in range(1, 12)]
     g = ClaimGraph(frame(spark, data, CLAIMS))
     assert rows(lookup.lookup(g, "p"), "value") == [("11",)]
+
+
+def test_appended_claims_keep_agents_and_transactions(spark):
+    from claimweave import ClaimGraph
+
+    columns = "cid string, l string, p string, r string, tx_id string, tx_seq bigint, ord bigint"
+    one = spark.createDataFrame([("c:1", "e:a/1", "name", "v:s:x", "t:1", 1, 1)], columns)
+    two = spark.createDataFrame([("c:2", "e:a/1", "name", "v:s:y", "t:3", 3, 2)], columns)
+    txs = spark.createDataFrame([("t:1", 1, "ann"), ("t:2", 2, "bob")], "tx_id string, seq bigint, agent string")
+    after = ClaimGraph(one, txs=txs).with_claims(two).txs
+    assert sorted((r.tx_id, r.seq, r.agent) for r in after.collect()) == [("t:1", 1, "ann"), ("t:2", 2, "bob"), ("t:3", 3, None)]
+
+
+def test_chain_longer_than_any_default_budget_of_rounds():
+    from itertools import islice
+
+    from claimweave.workspace import rounds
+
+    assert list(islice(rounds(2, None), 20_000))[-1] == 20_001
+    assert list(rounds(1, 3)) == [1, 2, 3]
