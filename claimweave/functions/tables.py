@@ -6,6 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Beyond this many rows the plan would grow with the table, so they become local data.
 RULE_ROWS = 10_000
 
 
@@ -24,6 +25,6 @@ def rule_table(spark: SparkSession, columns: Sequence[str], rows: Iterable[Seque
     """A literal relation; its exact size is known to the optimizer."""
     rows = list(rows)
     if len(rows) > RULE_ROWS:
-        raise ValueError(f"{len(rows)} rows are data, not rules: load them as a table")
+        return spark.createDataFrame(rows, list(columns))
     body = ", ".join("(" + ", ".join(_sql_literal(v) for v in row) + ")" for row in rows)
     return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(columns)})")

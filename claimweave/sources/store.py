@@ -102,6 +102,11 @@ class GraphStore:
         """Ids of the visible batches (one short string per batch)."""
         return [row["batch"] for row in self._log().select("batch").collect()]
 
+    def latest_seq(self, but: str) -> int:
+        """Highest sequence number of the batches whose ids do not start with ``but``."""
+        log = self._log().filter(~F.col("batch").startswith(but))
+        return int(log.agg(F.coalesce(F.max("max_seq"), F.lit(0)).alias("n")).first()["n"])
+
     def graph(self, upto: int | None = None) -> ClaimGraph:
         """The committed graph; ``upto`` fixes the last visible sequence number.
 

@@ -1,5 +1,6 @@
 """The help-desk model, source corpora and streams."""
 
+import pytest
 from graphs import claims, frame, graph, rows, stored
 from pyspark.sql import functions as F
 
@@ -146,6 +147,15 @@ def test_stream_replay_changes_nothing(spark):
     keeper.on_batch(batch, 0)
     assert rows(keeper.views.relation("path")) == once == [("b", "c")]
     assert store.graph().claims.count() == 3
+    again = live.ViewMaintainer(store, program, base_seq=1)
+    again.on_batch(batch, 0)
+    assert rows(again.views.relation("path")) == once
+    with pytest.raises(ValueError, match="lies below"):
+        live.ViewMaintainer(store, program, base_seq=0)
+
+
+def test_large_rule_table_is_local_data(spark):
+    assert rule_table(spark, ("name", "grp"), [(f"n{i}", "g") for i in range(10_001)]).count() == 10_001
 
 
 def test_late_claim_does_not_replace_a_newer_one(spark):
