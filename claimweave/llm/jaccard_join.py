@@ -14,9 +14,11 @@ point pairs by their vectors, and what is left is verified on the whole sets.
 Links are wanted for their components.  First each leaf gives only a spanning forest of the
 pairs that the bounds allow, and those are verified.  Where every pair of a forest links,
 its points are one component and nothing is left to do; points of the forests that broke
-go through the tree again, which then gives every allowed pair of different components, in
-a leaf or across leaves.  So no link between components is lost, and no group's pairs are
-all listed.
+go through the tree again, in a leaf and across leaves.  There the sets of up to ``WHOLE``
+shingles lie in the leaves: their pairs are verified on the spot, and only links that join
+two components leave a task, so near misses are never listed.  Pairs with a longer set leave
+it when the bounds allow them and are verified on their whole sets afterwards.  So no link
+between components is lost.
 
 Equal sets are one point.  Defined cases: a null or wordless text has the empty set, links
 to nothing and is its own component (its doc_id, null if that is null); a text with fewer
@@ -39,6 +41,9 @@ from claimweave.llm.common import Workspace, documents, pick, plain_words, shing
 
 GROUPS = 64
 LEAF = 256
+# Sets up to this size (4 kB) are carried in the leaves of the second pass; longer ones,
+# which have more keys too, would be written too often.
+WHOLE = 512
 # A shingle in more than one of this many texts is common; at most words per text times
 # this many can be, which bounds what is broadcast.
 COMMON_SHARE = 20_000
@@ -202,7 +207,7 @@ def connected(links: DataFrame, work: Workspace) -> DataFrame:
 
 LEAVES = (
     "key bigint, leaf bigint, low bigint, high bigint, box array<bigint>, nodes array<bigint>, comps array<bigint>, "
-    "sizes array<bigint>, vecs binary, a array<bigint>, b array<bigint>, bound array<bigint>"
+    "sizes array<bigint>, vecs binary, sets array<binary>, a array<bigint>, b array<bigint>, bound array<bigint>"
 )
 
 
@@ -213,20 +218,51 @@ def _allowed(like: Similar, size: int, vec: np.ndarray, sizes: np.ndarray, vecs:
     return ok, may
 
 
+def _linked(like: Similar, one: np.ndarray, sizes: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the other sets link to one; no set is empty."""
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    starts = np.cumsum(sizes) - sizes
+    both = np.add.reduceat((one[at] == flat).astype(np.int64), starts)
+    return like.den * both >= like.num * (len(one) + sizes - both)
+
+
 def _near(like: Similar, one: tuple, two: tuple | None) -> tuple[list[int], list[int], list[int]]:
-    """Pairs of different components that the bound allows, inside one leaf or across two."""
-    nodes, comps, sizes, vecs = one
+    """Inside one leaf or across two: a forest of the links that join components, and pairs
+    of different components that the bound allows where a set is not at hand."""
+    nodes, comps, sizes, vecs, sets = one
+    nodes2, comps2, sizes2, vecs2, sets2 = one if two is None else two
+    own = comps.copy()
+    own2 = own if two is None else comps2.copy()
+    here = np.array([s is not None for s in sets2], dtype=bool)
     a, b, bound = [], [], []
     for i in range(len(nodes)):
-        n2, c2, s2, v2 = (nodes[i + 1 :], comps[i + 1 :], sizes[i + 1 :], vecs[i + 1 :]) if two is None else two
-        ok, may = _allowed(like, sizes[i], vecs[i], s2, v2)
-        for j in np.flatnonzero(ok & (c2 != comps[i])):
+        start = i + 1 if two is None else 0
+        ok, may = _allowed(like, sizes[i], vecs[i], sizes2[start:], vecs2[start:])
+        at = np.flatnonzero(ok & (own2[start:] != own[i])) + start
+        known = at[here[at]] if sets[i] is not None else at[:0]
+        found = known
+        if len(known):
+            found = known[_linked(like, sets[i], sizes2[known], [sets2[j] for j in known])]
+        for j in found.tolist():
+            if own2[j] != own[i]:
+                old = own2[j]
+                own[own == old] = own[i]
+                own2[own2 == old] = own[i]
+                a.append(int(nodes[i]))
+                b.append(int(nodes2[j]))
+                bound.append(int(may[j - start]))
+        for j in np.setdiff1d(at, known).tolist():
             a.append(int(nodes[i]))
-            b.append(int(n2[j]))
-            bound.append(int(may[j]))
+            b.append(int(nodes2[j]))
+            bound.append(int(may[j - start]))
     return a, b, bound
 
 
+def _hashes(sets: list[bytes | None]) -> list[np.ndarray | None]:
+    return [None if s is None else np.frombuffer(s, np.uint64) for s in sets]
+
+
 def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[list, bool]]:
     """Rows sorted by key as leaves: rows of one key, at most ``LEAF``; and whether the key
     may have other leaves (it is cut, or it is the first or last of its task)."""
@@ -287,11 +323,12 @@ def _pack(like: Similar):
     def leaf_of(key: int, part: list, number: int) -> dict:
         nodes, comps, sizes = (np.array([r[k] for r in part], dtype=np.int64) for k in (1, 2, 3))
         vecs = _unpacked([r[4] for r in part])
-        a, b, bound = _near(like, (nodes, comps, sizes, vecs), None)
+        sets = [r[5] for r in part]
+        a, b, bound = _near(like, (nodes, comps, sizes, vecs, _hashes(sets)), None)
         return {
             "key": key, "leaf": number, "low": int(sizes.min()), "high": int(sizes.max()), "box": vecs.max(axis=0).tolist(),
             "nodes": nodes.tolist(), "comps": comps.tolist(), "sizes": sizes.tolist(), "vecs": vecs.astype("<u4").tobytes(),
-            "a": a, "b": b, "bound": bound,
+            "sets": sets, "a": a, "b": b, "bound": bound,
         }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,12 +336,12 @@ def _pack(like: Similar):
 
         number = TaskContext.get().partitionId() << 33
         out: list = []
-        for part, several in _runs(batches, 5):
+        for part, several in _runs(batches, 6):
             if not several and len(part) == 1:
                 continue
             out.append(leaf_of(part[0][0], part, number))
             number += 1
-            if len(out) >= 100:
+            if len(out) >= 16:
                 yield pa.RecordBatch.from_pylist(out, schema=_leaf_schema())
                 out = []
         if out:
@@ -315,7 +352,7 @@ def _pack(like: Similar):
 
 def _leaf_schema() -> pa.Schema:
     many = pa.list_(pa.int64())
-    kinds = {"box": many, "nodes": many, "comps": many, "sizes": many, "vecs": pa.binary(), "a": many, "b": many, "bound": many}
+    kinds = {"box": many, "nodes": many, "comps": many, "sizes": many, "vecs": pa.binary(), "sets": pa.list_(pa.binary()), "a": many, "b": many, "bound": many}
     return pa.schema([(c.split()[0], kinds.get(c.split()[0], pa.int64())) for c in LEAVES.split(", ")])
 
 
@@ -326,11 +363,12 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 
 def tree_pairs(rows: DataFrame, like: Similar, work: Workspace) -> DataFrame:
-    """(a, b, bound): pairs of one bucket and different components within the bounds.
+    """(a, b, bound): of the points of each bucket, links that join components, and pairs
+    within the bounds that are still to be verified.
 
-    ``rows``: key, node, comp, n, vec.
+    ``rows``: key, node, comp, n, vec, set (null: not at hand).
     """
-    ordered = _dealt(rows.select("key", "node", "comp", "n", "vec"))
+    ordered = _dealt(rows.select("key", "node", "comp", "n", "vec", "set"))
     leaves = work.save(ordered.mapInArrow(_pack(like), LEAVES), "leaves").df()
     inside = leaves.select(F.explode(F.arrays_zip("a", "b", "bound")).alias("x")).select("x.a", "x.b", "x.bound")
     several = leaves.groupBy("key").count().filter("count > 1").select("key")
@@ -345,7 +383,7 @@ def tree_pairs(rows: DataFrame, like: Similar, work: Workspace) -> DataFrame:
         & (like.den * F.col("high2") >= like.num * F.col("low"))
         & (may * (like.num + like.den) >= total * like.num)
     )
-    side = ["nodes", "comps", "sizes", "vecs"]
+    side = ["nodes", "comps", "sizes", "vecs", "sets"]
     full = (
         met.select("leaf", "leaf2")
         .join(leaves.select("leaf", *side), "leaf")
@@ -354,9 +392,14 @@ def tree_pairs(rows: DataFrame, like: Similar, work: Workspace) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
                 one, two = (
-                    (*(np.array(r[c + s], dtype=np.int64) for c in side[:3]), np.frombuffer(r["vecs" + s], "<u4").reshape(-1, GROUPS).astype(np.int64))
+                    (
+                        *(np.array(r[c + s], dtype=np.int64) for c in side[:3]),
+                        np.frombuffer(r["vecs" + s], "<u4").reshape(-1, GROUPS).astype(np.int64),
+                        _hashes(r["sets" + s]),
+                    )
                     for s in ("", "2")
                 )
                 found = _near(like, one, two)
@@ -403,7 +446,8 @@ def components(docs: DataFrame, like: Similar = Similar()) -> DataFrame:
         still = kin.join(broken, "kin").select("node", "comp")
         apart = work.save(still, "apart")
         if apart.rows:
-            rows = reps.join(apart.df(), "node").select(F.explode("keys").alias("key"), "node", "comp", "n", "vec")
+            rows = reps.join(apart.df(), "node").join(sets.filter(F.length("set") <= 8 * WHOLE), "node", "left")
+            rows = rows.select(F.explode("keys").alias("key"), "node", "comp", "n", "vec", "set")
             left = work.save(tree_pairs(rows, like, work).join(pairs.df().select("a", "b"), ["a", "b"], "left_anti"), "left")
             for last in (False, True):
                 if left.rows == 0:

@@ -97,8 +97,10 @@ def test_jaccard_join(docs, none, like):
     assert jaccard_join.components(none, like).count() == 0
 
 
-def test_jaccard_join_over_several_leaves(spark, monkeypatch):
+@pytest.mark.parametrize("whole", [0, 34, 512])
+def test_jaccard_join_over_several_leaves(spark, monkeypatch, whole):
     monkeypatch.setattr(jaccard_join, "LEAF", 2)
+    monkeypatch.setattr(jaccard_join, "WHOLE", whole)
     base = prose(1, 40).split()
     texts = [" ".join(w if i != k else f"edit{k}" for i, w in enumerate(base)) for k in range(24)] + [" ".join(base)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
