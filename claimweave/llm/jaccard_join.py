@@ -14,11 +14,11 @@ point pairs by their vectors, and what is left is verified on the whole sets.
 Links are wanted for their components.  First each leaf gives only a spanning forest of the
 pairs that the bounds allow, and those are verified.  Where every pair of a forest links,
 its points are one component and nothing is left to do; points of the forests that broke
-go through the tree again, in a leaf and across leaves.  There the sets of up to ``WHOLE``
-shingles lie in the leaves: their pairs are verified on the spot, and only links that join
-two components leave a task, so near misses are never listed.  Pairs with a longer set leave
-it when the bounds allow them and are verified on their whole sets afterwards.  So no link
-between components is lost.
+go through the tree again, in a leaf and across leaves.  In buckets of several leaves the
+sets of up to ``WHOLE`` shingles lie in the leaves: their pairs are verified on the spot, and
+only links that join two components leave a task, so a large group's near misses are never
+listed.  Pairs of one leaf alone, and those with a longer set, leave it when the bounds allow
+them and are verified on their whole sets afterwards.  So no link between components is lost.
 
 Equal sets are one point.  Defined cases: a null or wordless text has the empty set, links
 to nothing and is its own component (its doc_id, null if that is null); a text with fewer
@@ -41,8 +41,8 @@ from claimweave.llm.common import Workspace, documents, pick, plain_words, shing
 
 GROUPS = 64
 LEAF = 256
-# Sets up to this size (4 kB) are carried in the leaves of the second pass; longer ones,
-# which have more keys too, would be written too often.
+# Sets up to this size (4 kB) are carried in the leaves of large buckets; longer ones, which
+# have more keys too, would be written too often.
 WHOLE = 512
 # A shingle in more than one of this many texts is common; at most words per text times
 # this many can be, which bounds what is broadcast.
@@ -263,8 +263,8 @@ def _hashes(sets: list[bytes | None]) -> list[np.ndarray | None]:
     return [None if s is None else np.frombuffer(s, np.uint64) for s in sets]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[list, bool]]:
-    """Rows sorted by key as leaves: rows of one key, at most ``LEAF``; and whether the key
+def _runs(batches: Iterator[pa.RecordBatch], columns: int, most: int) -> Iterator[tuple[list, bool]]:
+    """Rows sorted by key as leaves: rows of one key, at most ``most``; and whether the key
     may have other leaves (it is cut, or it is the first or last of its task)."""
     part: list = []
     first, cut = True, False
@@ -273,7 +273,7 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[lis
             if part and row[0] != part[0][0]:
                 yield part, first or cut
                 part, first, cut = [], False, False
-            elif len(part) >= LEAF:
+            elif len(part) >= most:
                 cut = True
                 yield part, True
                 part = []
@@ -289,9 +289,11 @@ def _forest(like: Similar):
     """Per leaf: a spanning forest (a, b) of the pairs that the bounds allow, and for a key
     that may have other leaves each point with its key."""
 
+    most = LEAF
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for part, several in _runs(batches, 4):
+        for part, several in _runs(batches, 4, most):
             if several:
                 out += [(r[1], None, r[0]) for r in part]
             if len(part) > 1:
@@ -318,28 +320,32 @@ def _columns(rows: list[tuple], names: str) -> pa.RecordBatch:
 
 
 def _pack(like: Similar):
-    """Rows sorted by (key, size) to leaves with their boxes and their own pairs."""
+    """Rows sorted by (key, size) to leaves with their boxes and their own pairs; the points
+    stay in leaves whose key may have others."""
+    most = LEAF
 
-    def leaf_of(key: int, part: list, number: int) -> dict:
+    def leaf_of(key: int, part: list, number: int, several: bool) -> dict:
         nodes, comps, sizes = (np.array([r[k] for r in part], dtype=np.int64) for k in (1, 2, 3))
         vecs = _unpacked([r[4] for r in part])
         sets = [r[5] for r in part]
         a, b, bound = _near(like, (nodes, comps, sizes, vecs, _hashes(sets)), None)
-        return {
-            "key": key, "leaf": number, "low": int(sizes.min()), "high": int(sizes.max()), "box": vecs.max(axis=0).tolist(),
-            "nodes": nodes.tolist(), "comps": comps.tolist(), "sizes": sizes.tolist(), "vecs": vecs.astype("<u4").tobytes(),
-            "sets": sets, "a": a, "b": b, "bound": bound,
-        }
+        if several:
+            points = {"nodes": nodes.tolist(), "comps": comps.tolist(), "sizes": sizes.tolist(), "vecs": vecs.astype("<u4").tobytes(), "sets": sets}
+        else:
+            points = {"nodes": [], "comps": [], "sizes": [], "vecs": b"", "sets": []}
+        box = vecs.max(axis=0).tolist() if several else []
+        return {"key": key, "leaf": number, "low": int(sizes.min()), "high": int(sizes.max()), "box": box, **points, "a": a, "b": b, "bound": bound}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 33
         out: list = []
-        for part, several in _runs(batches, 6):
-            if not several and len(part) == 1:
+        for part, several in _runs(batches, 6, most):
+            leaf = leaf_of(part[0][0], part, number, several)
+            if not several and not leaf["a"]:
                 continue
-            out.append(leaf_of(part[0][0], part, number))
+            out.append(leaf)
             number += 1
             if len(out) >= 16:
                 yield pa.RecordBatch.from_pylist(out, schema=_leaf_schema())
@@ -446,8 +452,12 @@ def components(docs: DataFrame, like: Similar = Similar()) -> DataFrame:
         still = kin.join(broken, "kin").select("node", "comp")
         apart = work.save(still, "apart")
         if apart.rows:
-            rows = reps.join(apart.df(), "node").join(sets.filter(F.length("set") <= 8 * WHOLE), "node", "left")
-            rows = rows.select(F.explode("keys").alias("key"), "node", "comp", "n", "vec", "set")
+            rows = reps.join(apart.df(), "node").select(F.explode("keys").alias("key"), "node", "comp", "n", "vec")
+            large = work.save(rows.groupBy("key").count().filter(F.col("count") > LEAF).select("key", F.lit(True).alias("_large")), "large")
+            rows = rows.join(large.df(), "key", "left")
+            short = sets.filter(F.length("set") <= 8 * WHOLE)
+            with_sets = rows.filter("_large").join(short, "node", "left").select("key", "node", "comp", "n", "vec", "set")
+            rows = with_sets.unionByName(rows.filter("_large IS NULL").select("key", "node", "comp", "n", "vec", F.lit(None).cast("binary").alias("set")))
             left = work.save(tree_pairs(rows, like, work).join(pairs.df().select("a", "b"), ["a", "b"], "left_anti"), "left")
             for last in (False, True):
                 if left.rows == 0:
