@@ -240,6 +240,8 @@ def _near(like: Similar, one: tuple, two: tuple | None) -> tuple[list[int], list
         start = i + 1 if two is None else 0
         ok, may = _allowed(like, sizes[i], vecs[i], sizes2[start:], vecs2[start:])
         at = np.flatnonzero(ok & (own2[start:] != own[i])) + start
+        if not len(at):
+            continue
         known = at[here[at]] if sets[i] is not None else at[:0]
         found = known
         if len(known):
@@ -342,6 +344,8 @@ def _pack(like: Similar):
         number = TaskContext.get().partitionId() << 33
         out: list = []
         for part, several in _runs(batches, 6, most):
+            if not several and len(part) == 1:
+                continue
             leaf = leaf_of(part[0][0], part, number, several)
             if not several and not leaf["a"]:
                 continue
