@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -183,6 +184,79 @@ def test_quality(spark, none):
     assert quality.judged(none, labels).count() == 0
 
 
+def test_quality_knows_every_word_of_trusted_text(spark):
+    """Clean text of many rare words stays, other words of the same case and length go; any partitions."""
+    draw = random.Random(8)
+    own = ["".join(draw.choices("abcdefgh", k=7)) for _ in range(1_500)]
+    other = ["".join(draw.choices("abcdefgh", k=7)) for _ in range(1_500)]
+    # rare words of their own languages, one text each language and partition at most
+    rows = [(k, " ".join(draw.sample(own, 60)), f"l{k % 3}", 1) for k in range(600)]
+    rows += [(1000 + k, " ".join(draw.sample(other, 60)), f"l{k % 3}", 0) for k in range(30)]
+    labels = spark.createDataFrame([(a, q, 0) for a, _, _, q in rows], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    seen = []
+    for n in (2, 60):
+        found = {r.doc_id: (r.keep, round(r.perplexity, 6)) for r in quality.judged(df.repartition(n), labels).collect()}
+        assert not any(found[1000 + k][0] for k in range(30))
+        assert sum(found[k][0] for k in range(600)) >= 590
+        seen.append(found)
+    assert seen[0] == seen[1]
+
+
+def kneser_ney_by_hand(trained, text):
+    """Logarithm of the text's probability, from dictionaries, less the spelling of unknown words."""
+    def padded(t):
+        ws = t.split()
+        return ["<", "<", *[(w, i > 0 and ws[i - 1] == w) for i, w in enumerate(ws)]]
+
+    c3 = {}
+    for t in trained:
+        p = padded(t)
+        for g in zip(p, p[1:], p[2:]):
+            c3[g] = c3.get(g, 0) + 1
+    orders = [c3]
+    for _ in range(2):
+        low = {}
+        for g in orders[-1]:
+            low[g[1:]] = low.get(g[1:], 0) + 1
+        orders.append(low)
+
+    def level(counts):
+        n = [sum(c == k for c in counts.values()) for k in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0
+        ds = [min(k, max(0, k - (k + 1) * y * n[k + 1] / n[k])) if n[k] and n[1] else 0.5 * k for k in (1, 2, 3)]
+        d = {g: min(ds[min(c, 3) - 1], c) for g, c in counts.items()}
+        total, left = {}, {}
+        for g, c in counts.items():
+            total[g[:-1]] = total.get(g[:-1], 0) + c
+            left[g[:-1]] = left.get(g[:-1], 0) + d[g]
+        return lambda g, p: p if g[:-1] not in total else (counts.get(g, 0) - d.get(g, 0)) / total[g[:-1]] + max(left[g[:-1]] / total[g[:-1]], 1e-12) * p
+
+    three, two, one = map(level, orders)
+    out, p = 0.0, padded(text)
+    for g in zip(p, p[1:], p[2:]):
+        out += math.log(three(g, two(g[1:], one(g[2:], 1 / (len(orders[2]) + 1)))))
+        out -= 0 if g[2:] in orders[2] else quality.SPELL * min(len(g[2][0]), 41)
+    return out
+
+
+@pytest.mark.parametrize("hot, mapped", [(1 << 19, 1 << 26), (0, 0), (20, 1 << 26)])
+def test_quality_sums_are_those_of_the_model(spark, tmp_path, monkeypatch, hot, mapped):
+    monkeypatch.setattr(quality, "HOT", hot)
+    monkeypatch.setattr(quality, "MAPPED", mapped)
+    draw = random.Random(1)
+    texts = [" ".join(draw.choices(PROSE, k=draw.randint(1, 40))) for _ in range(40)]
+    asked = [*texts[:5], "zebra the quick", "the the the", "quick, brown? unheardof", "", texts[0]]
+    work = quality.Workspace(spark, str(tmp_path))
+    df = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model, unknown = quality.model_of(work.save(quality.trained_trigrams(df, df.select(F.col("doc_id").alias("_id")), work), "t").df(), work)
+    flat = unknown.collect()[0].unknown
+    rows = spark.createDataFrame([(hash(t), t) for t in asked], "row long, text string").select("row", F.xxhash64(F.lit("en")).alias("lang"), "text")
+    got = {r.row: r.logp + r.n_words * flat for r in quality.scores_of(rows, model).collect()}
+    bare = lambda t: t.replace(",", "").replace("?", "")
+    assert got == pytest.approx({hash(t): kneser_ney_by_hand(texts, bare(t)) for t in asked}, abs=1e-6)
+
+
 def test_secrets(spark, none):
     keys = [hashlib.sha1(str(k).encode()).hexdigest() for k in range(30)]
     rows = [(k, f'some text token = "{x}" and more', "src") for k, x in enumerate(keys)]
