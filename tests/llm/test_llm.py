@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -330,6 +331,47 @@ def test_contaminated(spark, docs, none):
     assert decontaminate.contaminated(docs, bench.filter("item_id < 0")).count() == 0
 
 
+def test_contaminated_finds_all_that_is_similar(spark, monkeypatch):
+    """Head, tail, cut, lengthened and spread edits against brute force over all runs of words; items in several blocks."""
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 3)
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choices("abcdefghij", k=4))
+    items = [[word() for _ in range(n)] for n in (50, 50, 52, 40, 31, 4, 12)]
+    items.append(items[0][:20] + [word() for _ in range(25)])  # shares shingles with another one
+    texts = [items[0][:-1], items[0][:42], items[1][:43], items[3][4:]]
+    for k in (3, 5, 7, 8, 10):
+        for it in items[:5]:
+            fresh = [word() for _ in range(k)]
+            around = [word() for _ in range(9)]
+            texts += [around + fresh + it[k:] + around, around + it[:-k] + fresh + around, around + it[:20] + fresh[: k // 2] + it[20:] + around]
+    texts += [[word(), *items[5], word()], items[5], items[6][1:], items[7] + items[0]]
+    sets = [Counter(tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))) for x in items]
+    df = Counter(g for s in sets for g in s)
+    weight = lambda g: 1 + math.log(len(items) / max(1, df[g]))
+    want = {}
+    for d, x in enumerate(texts):
+        grams = [tuple(x[i : i + 5]) for i in range(len(x) - 4)]
+        for m, s in enumerate(sets):
+            if len(items[m]) < 5:
+                if any(x[i : i + 4] == items[m] for i in range(len(x))):
+                    want[d, m] = 1.0
+                continue
+            for i in range(len(grams)):
+                run, both, own = Counter(), 0.0, 0.0
+                for g in grams[i:] if grams[i] in s else ():
+                    run[g] += 1
+                    own += weight(g)
+                    both += weight(g) if run[g] <= s[g] else 0
+                    like = both / (own + sum(c * weight(h) for h, c in s.items()) - both) if g in s else 0
+                    if like >= 0.8 - 1e-9:
+                        want[d, m] = max(want.get((d, m), 0), like)
+    docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(docs, bench).collect()}
+    assert (0, 0) in want and len(want) > 40
+    assert got == pytest.approx(want)
+
+
 def test_pipeline_stages(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
