@@ -1,18 +1,17 @@
 """Secret scans with a random forest that removes false positives.
 
-Candidates are words that hold a run of at least 16 key-like characters with a digit.  Each
-has features of its length, its character transitions, how much of it known words cover,
+Candidates are the runs of at least 16 key-like characters with a digit, every one of a word.
+Each has features of its length, its character transitions, how much of it known words cover,
 where it stands (file name in the source) and the words before it.  A random forest is
 trained from labelled findings and keeps what it takes for secrets.
 
 Without a table of findings, ``rule_findings`` labels some: a quoted value assigned to a
 name is a secret, plain numbers and words joined by hyphens are not; the rest stays open.
-The forest is fitted on at most ``TRAIN_ROWS`` labelled rows, chosen by a hash; all else
-covers all rows.
+The forest is fitted on all labelled rows: equal ones are one row that weighs their number.
 
 Defined cases: a null or empty text has no candidates; with no labelled finding of either
-class every candidate is returned with a null score; repeated words of a text are each
-reported, by place; repeated rows are each reported.
+class every candidate is returned with a null score; repeated words of a text, and repeated
+runs of a word, are each reported, by the place of the word; repeated rows are each reported.
 """
 
 from __future__ import annotations
@@ -23,7 +22,6 @@ from pyspark.sql import functions as F
 from claimweave.llm.common import Workspace, documents, pick
 
 RUN = r"[A-Za-z0-9+/=_-]{16,}"
-TRAIN_ROWS = 20_000
 NAMES = "(?i)(token|secret|passw|passwd|pwd|api|key|auth|credential|private)"
 PATH = r"(?i)([./\\]|config|env|test|doc)"
 # Common word parts for coverage; a parameter of ``features``.
@@ -32,7 +30,10 @@ FEATURES = ("length", "transitions", "digits", "uppers", "hexlike", "covered", "
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, source, place (word number), word, run, before, before2 of every candidate."""
+    """doc_id, source, place (word number), word, lead, run, before, before2 of every candidate.
+
+    ``lead``: what stands before the run in its word, from the run before it on.
+    """
     words = F.split("text", r"\s+")
     rows = pick(docs, "doc_id", "text", "source").filter(F.col("text").rlike(RUN)).withColumn("_w", words)
     found = F.filter(
@@ -41,15 +42,21 @@ def candidates(docs: DataFrame) -> DataFrame:
     )
     one = rows.withColumn("x", F.explode(found))
     at = F.col("x.place")
-    return one.select(
+    words = one.select(
         "doc_id",
         "source",
         at.alias("place"),
         F.col("x.word").alias("word"),
-        F.regexp_extract("x.word", RUN, 0).alias("run"),
+        F.regexp_extract_all("x.word", F.lit(RUN), F.lit(0)).alias("_runs"),
+        F.split("x.word", RUN, -1).alias("_gaps"),
         F.coalesce(F.when(at > 0, F.get("_w", at - 1)), F.lit("")).alias("before"),
         F.coalesce(F.when(at > 1, F.get("_w", at - 2)), F.lit("")).alias("before2"),
     )
+    runs = words.select("*", F.posexplode("_runs").alias("_i", "run")).filter(F.col("run").rlike("[0-9]"))
+    last = F.coalesce(F.when(F.col("_i") > 0, F.get("_runs", F.col("_i") - 1)), F.lit(""))
+    return runs.withColumn("lead", F.concat(last, F.get("_gaps", F.col("_i")))).select(
+        "doc_id", "source", "place", "word", "lead", "run", "before", "before2"
+    )
 
 
 def _share(run: Column, characters: str) -> Column:
@@ -69,7 +76,7 @@ def features(found: DataFrame, dictionary=DICTIONARY) -> DataFrame:
         "hexlike": flag(run.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
         "covered": _share(run, known),
         "quoted": flag(F.col("word").rlike("[\"']")),
-        "assigned": flag(F.col("before").rlike("[=:]$") | F.col("word").rlike("^[A-Za-z_]+[=:]")),
+        "assigned": flag(F.col("before").rlike("[=:]$") | F.col("word").rlike("^[A-Za-z_]+[=:]") | F.col("lead").rlike("[=:][\"']*$")),
         "named": flag(F.concat_ws(" ", "before2", "before", "word").rlike(NAMES)),
         "path": flag(F.coalesce(F.col("source"), F.lit("")).rlike(PATH)),
     })
@@ -95,11 +102,11 @@ def scanned(docs: DataFrame, findings: DataFrame | None = None, threshold: float
     work = Workspace(docs.sparkSession)
     rows = work.save(features(candidates(docs)), "candidates").df()
     labelled = (rule_findings(rows) if findings is None else findings).select(*FEATURES, F.col("label").cast("double").alias("label"))
-    labelled = work.save(labelled.orderBy(F.xxhash64(*FEATURES)).limit(TRAIN_ROWS), "findings")
+    labelled = work.save(labelled.groupBy(*FEATURES, "label").agg(F.count(F.lit(1)).cast("double").alias("_n")), "findings")
     if labelled.rows == 0 or labelled.df().select("label").distinct().count() < 2:
         return rows.select("doc_id", "place", "run", F.lit(None).cast("double").alias("score"))
     vector = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
-    forest = RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=24, maxDepth=6, seed=7)
+    forest = RandomForestClassifier(featuresCol="_features", labelCol="label", weightCol="_n", numTrees=24, maxDepth=6, seed=7)
     # written and read again: a fitted model holds its training frames, the read one does not
     path = work.path("forest")
     forest.fit(vector.transform(labelled.df())).write().save(path)

@@ -267,6 +267,26 @@ def test_secrets(spark, none):
     assert secrets.scanned(none).count() == 0
 
 
+def test_secrets_beside_a_frequent_vector(spark):
+    keys = [hashlib.sha1(str(k).encode()).hexdigest() for k in range(30)]
+    rows = [(k, f'some text token = "{x}" and more', "src") for k, x in enumerate(keys)]
+    numbers = spark.createDataFrame([(n, "order " + "7" * n, "src") for n in range(16, 300)], "doc_id long, text string, source string")
+    one = secrets.features(secrets.candidates(numbers)).orderBy(F.xxhash64(*secrets.FEATURES)).first().doc_id
+    many = spark.range(1_000, 22_000).select(F.col("id").alias("doc_id"), F.lit("order " + "7" * one).alias("text"), F.lit("src").alias("source"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").unionByName(many)
+    assert {(r.doc_id, r.run) for r in secrets.scanned(df).collect()} == set(enumerate(keys))
+
+
+def test_every_run_of_a_word_is_a_candidate(spark):
+    keys = [hashlib.sha1(str(k).encode()).hexdigest() for k in range(60)]
+    rows = [(k, f'{{"access_token_value":"{keys[k]}","refresh_token_value":"{keys[k + 30]}"}}', "src") for k in range(30)]
+    rows += [(100 + k, f"order {10**15 + k * 7919} was shipped", "src") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {(k % 30, x) for k, x in enumerate(keys)}
+    assert {(r.doc_id, r.run) for r in secrets.candidates(df.filter("doc_id < 100")).collect()} == want
+    assert {(r.doc_id, r.run) for r in secrets.scanned(df).collect()} == want
+
+
 def test_licenses(spark, none):
     mit = "Copyright (c) 2020 A. Person\n\n" + licenses.KNOWN[1][1].replace(" License", " LICENCE").replace(",", " ,")
     rows = [(1, mit), (2, "x\n# Licensed under the Apache Licence, v2.0\ny"), (3, "MIT"), (4, None), (5, ""), (1, mit)]
