@@ -6,7 +6,10 @@ and right of it are lexical patterns.  In each round a pattern's confidence for
 the share of its distinct instances known to be of that kind; patterns with enough
 instances and confidence are taken, an instance not known yet is scored by the patterns
 that find it (one minus the product of their doubts), and instances above the bar join the
-seeds of the next round.  Every occurrence of a discovered instance becomes a span.
+seeds of the next round, until a round adds none (or ``most`` rounds, where the caller of
+``discovered`` gives a number).  Instances of any length from one character on and context words are compared by
+128-bit hashes, and context words are whole.  Every occurrence of a discovered instance
+becomes a span.
 
 The expressions are written without nested repetition and start only where a run starts, so
 texts of any length are scanned in one pass; results are those of the plain expressions.
@@ -22,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.llm.common import Workspace, documents, pick
+from claimweave.workspace import rounds
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -32,9 +36,6 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 MENTION = r"\+[0-9][\x20().0-9-]+[0-9]|(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-CONTEXT = 64
-MENTION_CHARS = 64
-ROUNDS = 3
 MIN_SEEDS = 5
 MIN_CONFIDENCE = 0.9
 MIN_SCORE = 0.95
@@ -127,23 +128,23 @@ def mentions(scanned: DataFrame) -> DataFrame:
         "base",
         F.col("x.s").alias("s"),
         F.col("x.m").alias("m"),
-        F.lower(F.regexp_extract(F.right(F.element_at("gaps", F.col("i") + 1), F.lit(CONTEXT)), r"(\S++)\s*+$", 1)).alias("left"),
-        F.lower(F.regexp_extract(F.left(F.element_at("gaps", F.col("i") + 2), F.lit(CONTEXT)), r"^\s*+(\S++)", 1)).alias("right"),
+        F.lower(F.reverse(F.regexp_extract(F.reverse(F.element_at("gaps", F.col("i") + 1)), r"^\s*+(\S++)", 1))).alias("left"),
+        F.lower(F.regexp_extract(F.element_at("gaps", F.col("i") + 2), r"^\s*+(\S++)", 1)).alias("right"),
     )
     # punctuation around an identifier is no part of it
     core = F.regexp_extract("m", r"^[^A-Za-z0-9@+]*+(.*?)[^A-Za-z0-9]*$", 1)
     lead = F.length(F.regexp_extract("m", r"^[^A-Za-z0-9@+]*+", 0))
-    rows = rows.withColumn("core", core).filter(F.length("core").between(4, MENTION_CHARS))
+    rows = rows.withColumn("core", core).filter(F.length("core") > 0)
     start = F.col("s") + lead
     end = start + F.length("core")
     kind = F.filter("base", lambda b: (b["s"] < end) & (b["e"] > start))
     return rows.select(
-        "_row", start.alias("s"), end.alias("e"), F.col("core").alias("instance"), F.try_element_at(kind, F.lit(1))["k"].alias("kind"), "left", "right"
+        "_row", start.alias("s"), end.alias("e"), F.md5("core").alias("instance"), F.try_element_at(kind, F.lit(1))["k"].alias("kind"), "left", "right"
     )
 
 
-def discovered(found: DataFrame, work: Workspace) -> DataFrame:
-    """Instances (with kind) that seed instances' patterns find, over ``ROUNDS`` rounds."""
+def discovered(found: DataFrame, work: Workspace, most: int | None = None) -> DataFrame:
+    """Instances (with kind) that seed instances' patterns find, until a round adds none."""
     edges = (
         found.select(
             "instance",
@@ -151,13 +152,14 @@ def discovered(found: DataFrame, work: Workspace) -> DataFrame:
             F.explode(F.array(F.concat(F.lit("l:"), "left"), F.concat(F.lit("r:"), "right"), F.concat(F.lit("b:"), "left", F.lit(" "), "right"))).alias("pattern"),
         )
         .filter(F.length("pattern") > 3)
+        .withColumn("pattern", F.md5("pattern"))
         .groupBy("pattern", "instance")
         .agg(F.min("kind").alias("kind"))
     )
     edges = work.save(edges, "edges").df()
     known = work.save(edges.filter("kind IS NOT NULL").groupBy("instance").agg(F.min("kind").alias("kind"), F.lit(1.0).alias("score")), "seeds")
     fresh = None
-    for step in range(ROUNDS):
+    for step in rounds(0, most):
         scored = edges.select("pattern", "instance").join(known.df(), "instance", "left")
         totals = scored.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.when(F.col("kind") == k, F.col("score"))).alias(f"p{k}") for k in range(len(KINDS))])
         best = F.array_max(F.array(*[F.struct(F.coalesce(f"p{k}", F.lit(0.0)).alias("p"), F.lit(-k).alias("k")) for k in range(len(KINDS))]))

@@ -340,6 +340,22 @@ def test_personal_data_is_discovered_by_context(spark):
     assert {r.doc_id: r.n_added for r in found.filter("n_added > 0").collect()} == {99: 1}
 
 
+def test_personal_data_is_discovered_over_many_hops(spark):
+    """Each hop's pattern is sure only once the hop before is known; long and short instances and context words."""
+    found = ["id1-at-mail", "z" * 99 + "2", "id3-at-mail", "id4-at-mail", "q5", "id6-at-mail", "id7-at-mail"]
+    rows, want = [], set()
+    for k in range(len(found)):
+        left, right = f"{'w' * 80}hop{chr(97 + k)}", f"stop{chr(97 + k)}"
+        inside = [f"user{k}x{i}@mail.example" for i in range(17 if k else 20)] + found[max(0, k - 1) : k + 1]
+        for x in inside:
+            rows.append((len(rows), f"so {left} {x} {right} then"))
+            want |= {rows[-1][0]} if x in found else set()
+    # the same end of a longer word is another context
+    rows += [(len(rows) + i, f"so v{'w' * 80}hopa {1000 + i} elsewhere then") for i in range(40)]
+    got = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in got.filter("n_added > 0").collect()} == want
+
+
 def test_contaminated(spark, docs, none):
     items = [(1, prose(5, 30)), (2, "never seen words of some other test item that nobody wrote down in any text at all"), (3, None), (4, ""), (1, prose(5, 30))]
     bench = spark.createDataFrame(items, "item_id long, text string")
