@@ -3,6 +3,8 @@
 A unit is the whole text of a document or one of its lines.  Units are normalised (case,
 punctuation, blanks, copyright lines, equivalent spellings) and their SHA-256 digests are
 joined to those of known licence texts and notices, normalised by the same expression.
+Whole texts lie in ``license_texts``, one file each, named by licence; a text with an
+appendix on how to apply it is known without it too, and a short one under its title.
 
 Defined cases: a null, empty or blank text has no units that match; a one-line text can
 match as text and as line; a licence known under several texts is found by any; equal rows
@@ -12,6 +14,8 @@ not an entire unit and is not reported.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,7 +87,24 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
+TEXTS = Path(__file__).parent / "license_texts"
+TITLES = {"BSD-2-Clause": "BSD 2-Clause License\n", "BSD-3-Clause": "BSD 3-Clause License\n"}
+TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+def known_texts(folder: Path = TEXTS) -> list[tuple[str, str]]:
+    """``KNOWN`` and the whole texts, in the forms in which they are found."""
+    out = list(KNOWN)
+    for file in sorted(folder.glob("*.txt")):
+        text = file.read_text(encoding="utf-8", errors="replace")
+        terms, end, _ = text.partition(TERMS_END)
+        forms = [text, *([terms, terms + end] if end else []), *([TITLES[file.stem] + text] if file.stem in TITLES else [])]
+        out += [(file.stem, form) for form in forms]
+    return out
+
+
+def known_digests(spark: SparkSession, known=None) -> DataFrame:
+    known = known_texts() if known is None else known
     rows = spark.createDataFrame([(k, t) for k, t in known], "license string, _text string")
     return rows.select("license", digest(F.col("_text")).alias("digest")).distinct()
 

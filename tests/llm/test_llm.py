@@ -296,6 +296,18 @@ def test_licenses(spark, none):
     assert licenses.licensed(none, licenses.known_digests(spark)).count() == 0
 
 
+def test_whole_license_texts(spark):
+    files = sorted(licenses.TEXTS.glob("*.txt"))
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0"} <= {f.stem for f in files}
+    texts = [(f.stem, f.read_text(errors="replace")) for f in files]
+    rows = [(k, "Copyright (c) 2021, Some One. All rights reserved.\n\n" + t.replace("\n", " \r\n  ").upper() + "\n") for k, (_, t) in enumerate(texts)]
+    apache = dict(texts)["Apache-2.0"]
+    rows += [(100, apache[: apache.index("APPENDIX")]), (101, "BSD 3-Clause License\n\n" + dict(texts)["BSD-3-Clause"]), (102, apache[:-200])]
+    got = licenses.licensed(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known_digests(spark)).filter("unit = 'text'")
+    want = {(k, n) for k, (n, _) in enumerate(texts)} | {(100, "Apache-2.0"), (101, "BSD-3-Clause")}
+    assert {(r.doc_id, r.license) for r in got.collect()} == want
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
