@@ -18,6 +18,7 @@ from claimweave.operators.fixpoint import (
     run_rounds,
     variants,
 )
+from claimweave.operators.support import Changes
 from claimweave.rules import Atom, Rule
 from claimweave.workspace import Stored, Workspace
 
@@ -99,7 +100,7 @@ class Views:
 
         old_frames = graph_frames(before)
         new_frames = graph_frames(after)
-        plus = self._delta_frames(fresh, more, after)
+        plus = self._delta_frames(fresh, more, after, Changes(before, after, more, fresh, self.space))
         minus = self._delta_frames(gone.df(), None, after)
 
         def middle(a: Atom) -> DataFrame:
@@ -115,7 +116,7 @@ class Views:
         self.version = self._latest()
         return {rel: s.df() for rel, s in added.items()}
 
-    def _delta_frames(self, live: DataFrame, raw: DataFrame | None, graph: ClaimGraph):
+    def _delta_frames(self, live: DataFrame, raw: DataFrame | None, graph: ClaimGraph, changes: Changes | None = None):
         """Bound frames over changed claims only; None where a relation has no such change."""
 
         def frame(a: Atom) -> DataFrame | None:
@@ -124,7 +125,8 @@ class Views:
             elif raw is not None and a.rel in _FROM_CLAIMS:
                 source = raw
             else:
-                return None
+                # ids and transactions that nothing mentioned before; none ever goes away
+                return changes.frame(a) if changes is not None else None
             return graph_frames(_Part(source))(a)
 
         return frame

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from claimweave.functions import ids
 from claimweave.operators.fixpoint import RuleProgram
 from claimweave.operators.lineage import keyed, lineage, touched
-from claimweave.operators.mutate import assert_claims, invalidate
+from claimweave.operators.mutate import assert_claims, invalidate, supersede
+from claimweave.operators.support import SupportedViews
 from claimweave.operators.views import Views, replaced, rule_rows
+from claimweave.plans.recursion import SQL_WITHIN, containment
 from claimweave.plans.registry import analysis, once, stored_graph, table
 from claimweave.plans.shop import PLACES, claims_of, shop
 from claimweave.rules import atom, ref, rule
@@ -169,6 +171,137 @@ def _(spark, sf):
     return views.relation("within")
 
 
+# -- relations stored with their derivations -----------------------------------
+
+# One customer in a hundred moves to the next nation.
+_MOVING = "c_custkey % 100 = 7"
+
+
+def customer_moves(spark, sf):
+    customer = table(spark, sf, "customer").filter(_MOVING)
+    return supersede(
+        customer.select(
+            F.concat(F.lit("c:customer/"), F.col("c_custkey").cast("string"), F.lit("/located-in")).alias("old_cid"),
+            ids.entity_id("customer", "c_custkey").alias("l"), F.lit("located-in").alias("p"),
+            ids.entity_id("nation", ((F.col("c_nationkey") + 1) % 25)).alias("r"),
+            (F.lit(NOW) + F.col("c_custkey")).alias("ord"),
+        ),
+        2,
+    )
+
+
+def containment_views(spark, sf) -> SupportedViews:
+    return SupportedViews(containment(), shop(spark, sf)).materialize()
+
+
+def moved_views(spark, sf, views: SupportedViews) -> SupportedViews:
+    views.apply(customer_moves(spark, sf), _txs(spark, 2))
+    return views
+
+
+_MOVED_CUSTOMERS = SQL_WITHIN.replace(
+    "'e:nation/' || c_nationkey AS dst FROM customer",
+    f"'e:nation/' || CASE WHEN {_MOVING} THEN (c_nationkey + 1) % 25 ELSE c_nationkey END AS dst FROM customer",
+)
+
+
+@analysis("stored_derivations_maintained", f"{_MOVED_CUSTOMERS} SELECT src AS a0, dst AS a1 FROM p")
+def _(spark, sf):
+    return moved_views(spark, sf, containment_views(spark, sf)).relation("within")
+
+
+_MOVED_EDGES = """
+e AS (
+  SELECT 'e:customer/' || c_custkey AS src,
+         'e:nation/' || CASE WHEN {moving} THEN (c_nationkey + 1) % 25 ELSE c_nationkey END AS dst,
+         CASE WHEN {moving} THEN 'c:2/' || ({now} + c_custkey) ELSE 'c:customer/' || c_custkey || '/located-in' END AS cid FROM customer
+  UNION ALL SELECT 'e:supplier/' || s_suppkey, 'e:nation/' || s_nationkey,
+         'c:supplier/' || s_suppkey || '/located-in' FROM supplier
+  UNION ALL SELECT 'e:nation/' || n_nationkey, 'e:region/' || n_regionkey,
+         'c:nation/' || n_nationkey || '/located-in' FROM nation)
+""".format(moving=_MOVING, now=NOW)
+
+
+@analysis(
+    "stored_lineage_after_moves",
+    f"WITH RECURSIVE {_MOVED_EDGES}, q AS (SELECT src, dst, [cid] AS cids FROM e UNION ALL "
+    "SELECT e.src, q.dst, list_prepend(e.cid, q.cids) FROM q JOIN e ON e.dst = q.src) "
+    "SELECT DISTINCT src AS a0, dst AS a1, unnest(cids) AS cid FROM q",
+)
+def _(spark, sf):
+    views = moved_views(spark, sf, SupportedViews(within(), places(spark, sf)).materialize())
+    tuples = keyed(views.relation("within"), "within")
+    return tuples.join(views.lineage(), ["rel", "tuple_key"]).select("a0", "a1", "cid")
+
+
+@analysis(
+    "derivations_of_tuples",
+    f"WITH RECURSIVE {_MOVED_EDGES}, {_PATHS.format(e='e')}, "
+    "one AS (SELECT src, dst, count(*) AS n FROM e GROUP BY ALL), "
+    "two AS (SELECT e.src, p.dst, count(*) AS n FROM e JOIN p ON e.dst = p.src GROUP BY ALL) "
+    "SELECT p.src AS a0, p.dst AS a1, coalesce(one.n, 0) + coalesce(two.n, 0) AS derivations "
+    "FROM (SELECT DISTINCT src, dst FROM p) p LEFT JOIN one USING (src, dst) LEFT JOIN two USING (src, dst)",
+)
+def _(spark, sf):
+    views = moved_views(spark, sf, SupportedViews(within(), places(spark, sf)).materialize())
+    rows = views.living().filter("rel = 'within'")
+    return rows.groupBy(F.col("args")[0].alias("a0"), F.col("args")[1].alias("a1")).agg(F.count(F.lit(1)).alias("derivations"))
+
+
+@analysis(
+    "rule_replaced_below_readers",
+    f"WITH RECURSIVE {_EDGES}, b AS (SELECT 'e:order/' || o_orderkey AS src, 'e:customer/' || o_custkey AS dst FROM orders), "
+    "s AS (SELECT src, dst FROM b), p AS (SELECT src, dst FROM s UNION SELECT s.src, p.dst FROM p JOIN s ON s.dst = p.src) "
+    "SELECT src AS a0, dst AS a1 FROM p UNION SELECT src, dst FROM e",
+)
+def _(spark, sf):
+    # Places no longer count as steps, but their own relation keeps them: readers follow.
+    views = containment_views(spark, sf)
+    located = next(r for r in views.program.rules if r.head.rel == "step" and r.body[0].args[1] == LOCATED)
+    views.replace_rule(located.rule_id, rule(atom("place", "?x", "?y"), atom("current-triple", "?x", LOCATED, "?y")))
+    return views.relation("within").unionByName(views.relation("place")).distinct()
+
+
+def first_mentions() -> RuleProgram:
+    """Rules over objects and transactions, whose changes are first mentions."""
+    return RuleProgram(
+        [
+            rule(atom("place", "?x"), atom("object", "?x"), atom("current-triple", "?y", LOCATED, "?x")),
+            rule(
+                atom("stated", "?t", "?x"),
+                atom("tx-info", "?t", "?s"), atom("tx-claims-rel", "?t", "?c"), atom("claim", "?c", "?y", LOCATED, "?x"),
+            ),
+        ]
+    )
+
+
+_MENTIONS = (
+    "SELECT 'place' AS rel, NULL AS tx, 'e:nation/' || n_nationkey || '/new' AS x FROM nation "
+    "UNION SELECT 'place', NULL, 'e:nation/' || c_nationkey FROM customer UNION SELECT 'place', NULL, 'e:nation/' || s_nationkey FROM supplier "
+    "UNION SELECT 'place', NULL, 'e:region/' || n_regionkey FROM nation "
+    "UNION SELECT 'stated', 't:1', 'e:nation/' || c_nationkey FROM customer UNION SELECT 'stated', 't:1', 'e:nation/' || s_nationkey FROM supplier "
+    "UNION SELECT 'stated', 't:1', 'e:region/' || n_regionkey FROM nation UNION SELECT 'stated', 't:2', 'e:nation/' || n_nationkey || '/new' FROM nation"
+)
+
+
+@analysis("first_mentions_maintained", _MENTIONS)
+def _(spark, sf):
+    # Places and transactions that no claim named before reach the views by the change alone.
+    views = SupportedViews(first_mentions(), places(spark, sf)).materialize()
+    nation = table(spark, sf, "nation")
+    new = assert_claims(
+        nation.select(
+            ids.entity_id("nation", "n_nationkey").alias("l"), F.lit("located-in").alias("p"),
+            F.concat(ids.entity_id("nation", "n_nationkey"), F.lit("/new")).alias("r"), (F.lit(NOW) + F.col("n_nationkey")).alias("ord"),
+        ),
+        2,
+    )
+    views.apply(new, _txs(spark, 2))
+    none = F.lit(None).cast("string")
+    place = views.relation("place").select(F.lit("place").alias("rel"), none.alias("tx"), F.col("a0").alias("x"))
+    return place.unionByName(views.relation("stated").select(F.lit("stated").alias("rel"), F.col("a0").alias("tx"), F.col("a1").alias("x")))
+
+
 def _same_place():
     return rule(
         atom("two-up", "?x", "?z"),
