@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from claimweave.graph import CLAIMS
 from claimweave.operators import checks
+from claimweave.operators.support import SupportedViews
 from claimweave.plans.desk import SQL_STATUSES, statuses
 from claimweave.plans.maintained import _EDGES, _PATHS, within
 from claimweave.plans.registry import analysis, table
@@ -80,7 +81,7 @@ def _(spark, sf):
     folder = space.path("incoming")
     claims_of(spark, sf, "nation").coalesce(1).write.mode("append").parquet(folder)
     claims_of(spark, sf, "customer").coalesce(1).write.mode("append").parquet(folder)
-    keeper = live.ViewMaintainer(store, within(), base_seq=1)
+    keeper = live.ViewMaintainer(store, within(), base_seq=1, kind=SupportedViews)
     stream = live.claim_stream(spark, folder, files_per_batch=1)
     keeper.start(stream, space.path("progress")).awaitTermination()
     return keeper.views.relation("within")

@@ -33,24 +33,27 @@ class ViewMaintainer:
     """Keeps the views of a rule program current from a stream of claims.
 
     One micro-batch is one transaction: it is committed to the store under the batch id
-    and then applied as a change.  A batch that the store held when the views were made, or
-    that was applied since, is a replay and changes nothing.  ``base_seq`` must not lie below
-    what was loaded otherwise, since sequence numbers would be given twice.
+    and then applied as a change.  A batch that the store holds is a replay and is not
+    committed again; should the views lack it, since applying it failed, they are made anew.
+    ``base_seq`` must not lie below what was loaded otherwise, since sequence numbers would be
+    given twice.  ``kind`` is the class of the views.
     """
 
-    def __init__(self, store: GraphStore, program: RuleProgram, base_seq: int):
+    def __init__(self, store: GraphStore, program: RuleProgram, base_seq: int, kind: type = Views):
         self.store = store
         self.base_seq = base_seq
         loaded = store.latest_seq(but="stream-")
         if loaded > base_seq:
             raise ValueError(f"base_seq {base_seq} lies below sequence number {loaded} of the store")
-        self._applied = {b for b in store.committed() if b.startswith("stream-")}
-        self.views = Views(program, store.graph()).materialize()
+        self.views = kind(program, store.graph()).materialize()
 
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
         seq = self.base_seq + batch_id + 1
         name = f"stream-{batch_id}"
-        if name in self._applied:
+        if self.store.folder_of(name) is not None:
+            if self.views.version is None or self.views.version < seq:
+                self.views.graph = self.store.graph()
+                self.views.materialize()
             return
         stamped = batch.withColumn("tx_seq", F.lit(seq).cast("bigint")).withColumn(
             "tx_id", F.lit(f"t:{seq}")
@@ -60,7 +63,6 @@ class ViewMaintainer:
         # The change is read back from the store, not computed a second time.
         more = after.claims.filter(F.col("tx_seq") == seq)
         self.views.apply(more, after=after)
-        self._applied.add(name)
 
     def start(self, claims: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         trigger = trigger or {"availableNow": True}

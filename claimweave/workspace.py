@@ -28,6 +28,13 @@ def shared_folder(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names below a folder of whatever file system the path is in; none if it is missing."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
+
+
 def rounds(first: int, most: int | None) -> Iterable[int]:
     """Numbers of the rounds of a loop that ends by itself; ``most`` only where it is asked for."""
     return itertools.count(first) if most is None else range(first, first + most)
