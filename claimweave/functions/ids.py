@@ -80,6 +80,11 @@ def is_long_value(column: Column) -> Column:
     return column.rlike(r"^v:[a-z]#")
 
 
+def long_text(value: Column, literal: Column) -> Column:
+    """The literal where its id does not hold it: what travels beside a claim as ``lit``."""
+    return F.when(is_long_value(value), literal)
+
+
 def short_literal(column: Column) -> Column:
     """The literal held inside a short value id; NULL for anything else."""
     return F.when(column.rlike(r"^v:[a-z]:"), F.substr(column, F.lit(5)))

@@ -37,7 +37,8 @@ class ClaimGraph:
     """Claims, values, transactions and rules as four DataFrames.
 
     ``ord`` grows with insertion and is unique within ``(l, p)``; it decides which claim
-    is newest.  Nothing here runs a job: every method returns a lazy DataFrame.
+    is newest.  Claims may carry the texts of long literals in one more column, ``lit``; they go
+    to the values.  Nothing here runs a job: every method returns a lazy DataFrame.
     """
 
     def __init__(
@@ -48,9 +49,11 @@ class ClaimGraph:
         rules: DataFrame | None = None,
     ):
         spark = claims.sparkSession
+        values = values if values is not None else values_in(claims)
+        claims = claims.drop("lit")
         self.spark: SparkSession = spark
         self.claims = claims
-        self.values = values if values is not None else values_in(claims)
+        self.values = values
         self.txs = (
             txs
             if txs is not None
@@ -69,7 +72,7 @@ class ClaimGraph:
         Lazy: for a chain of changes commit each one to a store and read the graph back,
         so that plans do not grow with the number of changes.
         """
-        merged = self.claims.unionByName(more)
+        merged = self.claims.unionByName(more.drop("lit"))
         if txs is None:
             fresh = more.groupBy("tx_id").agg(F.min("tx_seq").alias("seq")).join(self.txs, "tx_id", "left_anti")
             txs = fresh.select("tx_id", "seq", F.lit(None).cast("string").alias("agent"))
@@ -245,9 +248,9 @@ def pattern(l: str | None, p: str | None, r: object) -> Column:
 
 
 def values_in(claims: DataFrame) -> DataFrame:
-    """The value rows readable from short value ids in any slot."""
+    """The value rows readable from short value ids in any slot, and the long ones carried as ``lit``."""
     slot = F.explode(F.array("l", "r")).alias("vid")
-    return (
+    short = (
         claims.select(slot)
         .filter(F.col("vid").rlike(r"^v:[a-z]:"))
         .distinct()
@@ -257,4 +260,7 @@ def values_in(claims: DataFrame) -> DataFrame:
             ids.short_literal(F.col("vid")).alias("lit"),
         )
     )
-
+    if "lit" not in claims.columns:
+        return short
+    long = claims.filter(ids.is_long_value(F.col("r")) & F.col("lit").isNotNull())
+    return short.unionByName(long.select(F.col("r").alias("vid"), F.substring("r", 3, 1).alias("lit_type"), "lit").distinct())

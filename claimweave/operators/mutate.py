@@ -1,44 +1,53 @@
 """Set-at-a-time changes.  Each returns the claims to append; nothing is rewritten.
 
-Requests carry an integer ``ord`` that is unique in the batch and larger than every
+A request whose ``r`` is the id of a long literal may carry the text as ``lit``; it travels
+with the new claim.  Requests carry an integer ``ord`` that is unique in the batch and larger than every
 ``ord`` already in the graph.  New claims are named ``c:<tx_seq>/<ord>``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.functions.ids import entity_id, value_id
+from claimweave.functions.ids import entity_id, long_text, value_id
 from claimweave.functions.ordered import neighbour_in_group
 from claimweave.graph import SUPERSEDES, ClaimGraph
 from claimweave.operators.closure import reach
 
 
 def _claim(
-    tx_seq: int, cid: Column, l: Column, p: Column, r: Column, order: Column
+    tx_seq: int, cid: Column, l: Column, p: Column, r: Column, order: Column, *more: Column
 ) -> list[Column]:
     return [
         cid.alias("cid"), l.alias("l"), p.alias("p"), r.alias("r"),
         F.lit(f"t:{tx_seq}").alias("tx_id"), F.lit(tx_seq).cast("bigint").alias("tx_seq"),
-        order.cast("bigint").alias("ord"),
+        order.cast("bigint").alias("ord"), *more,
     ]
 
 
+def _text(requests: DataFrame) -> list[Column]:
+    return [F.col("lit")] if "lit" in requests.columns else []
+
+
 def _new_cid(tx_seq: int) -> Column:
     return F.concat(F.lit(f"c:{tx_seq}/"), F.col("ord").cast("string"))
 
 
-def _hide(tx_seq: int, by: Column, target: Column, order: Column) -> list[Column]:
+def _hide(tx_seq: int, by: Column, target: Column, order: Column, text: Sequence[Column] = ()) -> list[Column]:
     """A claim that ``by`` supersedes ``target``; its id follows from the target."""
     cid = F.concat(F.lit(f"c:{tx_seq}/hide/"), target)
-    return _claim(tx_seq, cid, by, F.lit(SUPERSEDES), target, order)
+    none = F.lit(None).cast("string").alias("lit")
+    return _claim(tx_seq, cid, by, F.lit(SUPERSEDES), target, order, *[none for _ in text])
 
 
 def supersede(requests: DataFrame, tx_seq: int) -> DataFrame:
     """Replace claim ``old_cid`` by ``(l, p, r)``; requests have ``old_cid, l, p, r, ord``."""
-    new = requests.select(*_claim(tx_seq, _new_cid(tx_seq), *map(F.col, ("l", "p", "r", "ord"))))
-    marks = requests.select(*_hide(tx_seq, _new_cid(tx_seq), F.col("old_cid"), F.col("ord")))
+    text = _text(requests)
+    new = requests.select(*_claim(tx_seq, _new_cid(tx_seq), *map(F.col, ("l", "p", "r", "ord")), *text))
+    marks = requests.select(*_hide(tx_seq, _new_cid(tx_seq), F.col("old_cid"), F.col("ord"), text))
     return new.unionByName(marks)
 
 
@@ -56,38 +65,38 @@ def update(graph: ClaimGraph, requests: DataFrame, tx_seq: int) -> DataFrame:
     The first request for an ``(l, p)`` supersedes every live claim of it, and each later
     request in the batch supersedes the one before it.
     """
+    text = _text(requests)
     chained = neighbour_in_group(
-        requests.select("l", "p", "r", "ord"),
+        requests.select("l", "p", "r", "ord", *text),
         ["l", "p"],
         "ord",
         {"previous": F.col("ord")},
         forward=False,
     )
-    new = chained.select(*_claim(tx_seq, _new_cid(tx_seq), *map(F.col, ("l", "p", "r", "ord"))))
+    new = chained.select(*_claim(tx_seq, _new_cid(tx_seq), *map(F.col, ("l", "p", "r", "ord")), *text))
     first = chained.filter(F.col("previous").isNull()).select("l", "p", "ord")
     live = graph.current().select("l", "p", F.col("cid").alias("old"))
     on_live = live.join(first, ["l", "p"]).select(
-        *_hide(tx_seq, _new_cid(tx_seq), F.col("old"), F.col("ord"))
+        *_hide(tx_seq, _new_cid(tx_seq), F.col("old"), F.col("ord"), text)
     )
     earlier = F.concat(F.lit(f"c:{tx_seq}/"), F.col("previous").cast("string"))
     in_batch = chained.filter(F.col("previous").isNotNull()).select(
-        *_hide(tx_seq, _new_cid(tx_seq), earlier, F.col("ord"))
+        *_hide(tx_seq, _new_cid(tx_seq), earlier, F.col("ord"), text)
     )
     return new.unionByName(on_live).unionByName(in_batch)
 
 
 def assert_claims(requests: DataFrame, tx_seq: int) -> DataFrame:
     """Add ``(l, p, r, ord)`` without hiding anything: a property may have many values."""
-    return requests.select(*_claim(tx_seq, _new_cid(tx_seq), *map(F.col, ("l", "p", "r", "ord"))))
+    return requests.select(*_claim(tx_seq, _new_cid(tx_seq), *map(F.col, ("l", "p", "r", "ord")), *_text(requests)))
 
 
 def rename(
     graph: ClaimGraph, requests: DataFrame, tx_seq: int, predicate: str = "name"
 ) -> DataFrame:
     """Give new names to ``(l, name, ord)``; every reference keeps its id."""
-    wanted = requests.select(
-        "l", F.lit(predicate).alias("p"), value_id("s", F.col("name")).alias("r"), "ord"
-    )
+    wanted = requests.select("l", F.lit(predicate).alias("p"), value_id("s", F.col("name")).alias("r"), "ord", "name")
+    wanted = wanted.withColumn("lit", long_text(F.col("r"), F.col("name"))).drop("name")
     return update(graph, wanted, tx_seq)
 
 
@@ -172,7 +181,7 @@ def replace_subtrees(
     removed = remove_subtrees(
         graph, roots, child_predicates, tx_seq, keep_root=True, workspace=workspace
     )
-    claims = removed.unionByName(replacement)
+    claims = removed.unionByName(replacement, allowMissingColumns=True)
     if new_names is not None:
-        claims = claims.unionByName(rename(graph, new_names, tx_seq))
+        claims = claims.unionByName(rename(graph, new_names, tx_seq), allowMissingColumns=True)
     return claims

@@ -165,7 +165,7 @@ def conversation_graph(spark, sf):
             ids.entity_id("turn", "key").alias("r"), F.lit("t:1").alias("tx_id"),
             F.lit(1).cast("bigint").alias("tx_seq"), F.col("o").alias("ord"),
         )
-        return stored_graph(spark, table_claims(turns, spec).unionByName(links), "conversations")
+        return stored_graph(spark, table_claims(turns, spec).unionByName(links, allowMissingColumns=True), "conversations")
 
     return once(spark, sf, "conversations", build)
 

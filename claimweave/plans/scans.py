@@ -8,6 +8,7 @@ from claimweave.functions import ids
 from claimweave.graph import ClaimGraph
 from claimweave.operators import lookup
 from claimweave.operators.conjunctive import query
+from claimweave.operators.mutate import rename
 from claimweave.plans.registry import analysis, once, stored_graph, table
 from claimweave.plans.shop import (
     PLACES,
@@ -284,6 +285,28 @@ def _(spark, sf):
     )
 
 
+@analysis(
+    "long_texts_survive_changes",
+    "SELECT 'e:document/' || doc_id AS l, sha256(text) AS digest, 1 AS tx FROM documents WHERE text IS NOT NULL "
+    "UNION ALL SELECT 'e:item/' || item_id, sha256(text), 2 FROM benchmark "
+    "UNION ALL SELECT 'e:document/' || doc_id, sha256('again: ' || text), 3 FROM documents WHERE text IS NOT NULL AND lang = 'fr'",
+)
+def _(spark, sf):
+    # Texts travel with their claims: through a load, a second batch and a change of names.
+    docs = table(spark, sf, "documents")
+    store = GraphStore(spark, Workspace(spark).path("texts"))
+    store.commit("load", table_claims(docs, TableSpec("document", "doc_id", {"text": "name"})))
+    items = TableSpec("item", "item_id", {"text": "name"}, base=10**12)
+    store.commit("items", table_claims(table(spark, sf, "benchmark"), items, 2))
+    renamed = docs.filter("lang = 'fr' AND text IS NOT NULL").select(
+        ids.entity_id("document", "doc_id").alias("l"), F.concat(F.lit("again: "), "text").alias("name"), (F.lit(10**13) + F.col("doc_id")).alias("ord")
+    )
+    store.commit("rename", rename(store.graph(), renamed, 3))
+    graph = store.graph()
+    claims = graph.claims_where(p="name").select("l", "r", F.col("tx_seq").cast("int").alias("tx"))
+    return graph.ground(claims, "r", "text").select("l", F.sha2("text", 256).alias("digest"), "tx")
+
+
 @analysis(
     "long_literal_lookup",
     "SELECT DISTINCT a.text = b.text AS same_text, 'e:document/' || a.doc_id AS l "
@@ -317,7 +340,7 @@ def _symbols(spark, sf) -> ClaimGraph:
         symbols = named_entities(small, "part", "p_partkey", "p_name")
         names = table_claims(part, TableSpec("part", "p_partkey", {"p_name": "name"}))
         places = table_claims(even, TableSpec("part", "p_partkey", {"p_size": "position"}))
-        return stored_graph(spark, symbols.unionByName(names).unionByName(places), "symbols")
+        return stored_graph(spark, symbols.unionByName(names, allowMissingColumns=True).unionByName(places, allowMissingColumns=True), "symbols")
 
     return once(spark, sf, "symbols", build)
 

@@ -15,7 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.functions.ids import value_id
+from claimweave.functions.ids import long_text, value_id
 
 SYNTAX = (
     "path string, nid int, parent int, field string, pos int, type string, name string, "
@@ -263,7 +263,7 @@ class Corpus:
         )
 
     def child_links(self) -> DataFrame:
-        """``(src, dst)``: expression children, helper nodes skipped, constants as values."""
+        """``(src, dst)``: expression children, helper nodes skipped, constants as values (long ones with their text)."""
         nodes = self.syntax.filter(
             ~F.col("type").isin(*_HELPERS) & F.col("above").isNotNull() & ~self._aside()
         )
@@ -272,7 +272,7 @@ class Corpus:
         ).otherwise(node_id(F.col("path"), F.col("nid")))
         return nodes.select(
             node_id(F.col("path"), F.col("above")).alias("src"), child.alias("dst"), "path", "nid",
-            "field", "pos",
+            "field", "pos", long_text(child, F.col("lit")).alias("dst_text"),
         )
 
     def claims(self, tx_seq: int = 1, existing: DataFrame | None = None) -> DataFrame:
@@ -283,10 +283,12 @@ class Corpus:
         functions = F.col("type").isin("FunctionDef", "AsyncFunctionDef")
 
         def literal(df: DataFrame, l: Column, p: str, text: Column, kind: str = "s") -> DataFrame:
-            return df.select(l.alias("l"), F.lit(p).alias("p"), value_id(kind, text.cast("string")).alias("r"))
+            value, text = value_id(kind, text.cast("string")), text.cast("string")
+            return df.select(l.alias("l"), F.lit(p).alias("p"), value.alias("r"), long_text(value, text).alias("lit"))
 
-        def link(df: DataFrame, l: Column, p: str, r: Column) -> DataFrame:
-            return df.select(l.alias("l"), F.lit(p).alias("p"), r.alias("r"))
+        def link(df: DataFrame, l: Column, p: str, r: Column, text: Column | None = None) -> DataFrame:
+            text = F.lit(None).cast("string") if text is None else text
+            return df.select(l.alias("l"), F.lit(p).alias("p"), r.alias("r"), text.alias("lit"))
 
         syntax, defs, params = self.syntax, self.definitions(), self.parameters()
         body = F.concat(me, F.lit("/body"))
@@ -321,14 +323,14 @@ class Corpus:
             link(is_fn, me, "body", body),
             literal(is_fn, body, "expr-kind", F.lit("block")),
             literal(inner, me, "expr-kind", expr_kind),
-            link(self.resolved(existing), F.col("entity"), "calls", F.col("target")),
-            link(links.filter(of_function), F.concat("src", F.lit("/body")), "has-child", F.col("dst")),
+            link(self.resolved(existing), F.col("entity"), "calls", F.col("target"), long_text(F.col("target"), F.col("name"))),
+            link(links.filter(of_function), F.concat("src", F.lit("/body")), "has-child", F.col("dst"), F.col("dst_text")),
             literal(links.filter(of_function), F.col("dst"), "position", F.col("pos"), "i"),
-            link(links.filter(~F.coalesce(of_function, F.lit(False))), F.col("src"), "has-child", F.col("dst")),
+            link(links.filter(~F.coalesce(of_function, F.lit(False))), F.col("src"), "has-child", F.col("dst"), F.col("dst_text")),
             link(
                 links.join(defs.filter(F.col("kind") == "variable").select(F.col("entity").alias("src")), "src", "left_semi")
                 .filter(F.col("field") == "value"),
-                F.col("src"), "body", F.col("dst"),
+                F.col("src"), "body", F.col("dst"), F.col("dst_text"),
             ),
             link(args.join(calls, ["path", "parent"], "left_semi"), parent, "has-arg", me),
             link(
@@ -344,7 +346,7 @@ class Corpus:
         return merged.select(
             F.concat(F.lit("c:py/"), F.substring(digest, 1, 24)).alias("cid"), "l", "p", "r",
             F.lit(f"t:{tx_seq}").alias("tx_id"), F.lit(tx_seq).cast("bigint").alias("tx_seq"),
-            F.xxhash64("l", "p", "r").alias("ord"),
+            F.xxhash64("l", "p", "r").alias("ord"), "lit",
         )
 
 

@@ -92,6 +92,7 @@ def table_claims(
         F.concat(F.lit("t:"), seq.cast("string")).alias("tx_id"),
         seq.alias("tx_seq"),
         "ord",
+        ids.long_text(F.col("r"), F.col("lit")).alias("lit"),
     )
 
 

@@ -21,6 +21,7 @@ the number of batches.  There may be any number of readers, and one writer at a
 
 from __future__ import annotations
 
+import functools
 import math
 import uuid
 from collections.abc import Iterable
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from claimweave.functions.ids import is_long_value
 from claimweave.graph import CLAIMS, RULES, TXS, VALUES, ClaimGraph, values_in
 from claimweave.workspace import child_names, empty_frame
 
@@ -118,10 +120,15 @@ class GraphStore:
         now = self.manifest()
         folder = f"{now.version + 1:012d}-{uuid.uuid4().hex}"
         stamp = F.lit(batch).alias("batch")
-        n_claims = self._write_claims(claims.withColumn("batch", stamp), folder)
+        n_claims, n_long = self._write_claims(claims.withColumn("batch", stamp), folder)
         written = self._read([folder], "claims", CLAIMS)
-        new_values = values if values is not None else values_in(written)
+        new_values = values
+        if values is None:
+            carried = [values_in(claims.filter(is_long_value(F.col("r"))))] if n_long and "lit" in claims.columns else []
+            new_values = functools.reduce(DataFrame.unionByName, carried, values_in(written)).distinct()
         self._write(new_values.select("vid", "lit_type", "lit", stamp), "values", folder)
+        if n_long:
+            self._refuse_without_text(written, folder, now, batch)
         if txs is None:
             txs = (
                 written.select("tx_id", F.col("tx_seq").alias("seq"))
@@ -138,19 +145,28 @@ class GraphStore:
             self._fold(now)
         return max_seq
 
-    def _write_claims(self, claims: DataFrame, folder: str) -> int:
+    def _refuse_without_text(self, written: DataFrame, folder: str, now: Manifest, batch: str) -> None:
+        """A long literal is known by its digest only; its text must be somewhere in the store."""
+        long = F.col("vid").rlike(r"^v:[a-z]#")
+        asked = written.select(F.explode(F.array("l", "r")).alias("vid")).filter(long).distinct()
+        known = self._read([*now.folders, folder], "values", VALUES).filter(long & F.col("lit").isNotNull())
+        lost = asked.join(known, "vid", "left_anti").limit(1).collect()
+        if lost:
+            raise ValueError(f"batch {batch} rejected: no text for {lost[0]['vid']}; give claims a column lit, or values")
+
+    def _write_claims(self, claims: DataFrame, folder: str) -> tuple[int, int]:
         # Ranges over (p, l): a predicate with a large part of all claims is spread over
         # many files, and each file covers a narrow range of l.
         seen = Observation()
         (
             claims.select("cid", "l", "r", "tx_id", "tx_seq", "ord", "batch", "p")
-            .observe(seen, F.count(F.lit(1)).alias("n"))
+            .observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(is_long_value(F.col("r")) | is_long_value(F.col("l"))).alias("long"))
             .repartitionByRange("p", "l")
             .sortWithinPartitions("p", "l")
             .write.partitionBy("p")
             .parquet(f"{self.root}/claims/folder={folder}")
         )
-        return int(seen.get["n"])
+        return int(seen.get["n"]), int(seen.get["long"])
 
     def _write(self, df: DataFrame, table: str, folder: str) -> None:
         df.write.parquet(f"{self.root}/{table}/folder={folder}")
@@ -181,7 +197,7 @@ class GraphStore:
 
     def _merge(self, now: Manifest, group: list[Folder]) -> None:
         folder = f"{now.version + 1:012d}-{uuid.uuid4().hex}"
-        n_claims = self._write_claims(self._rows(group, "claims", CLAIMS), folder)
+        n_claims, _ = self._write_claims(self._rows(group, "claims", CLAIMS), folder)
         for table, schema in (("values", VALUES), ("txs", TXS)):
             self._write(self._rows(group, table, schema).distinct(), table, folder)
         rules = [f for f in group if f.rules]
