@@ -26,6 +26,11 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def whole_rows(df: DataFrame, **keys: Column) -> DataFrame:
+    """All columns as one struct ``_all`` beside working columns, so none can clash; ``_all.*`` gives them back."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_all"), *[c.alias(n) for n, c in keys.items()])
+
+
 def globally_numbered(df: DataFrame, order: Sequence[str | Column], work: Workspace, label: str) -> tuple[DataFrame, int]:
     """``_rank`` = 0, 1, ... over all rows in the given order, and the number of rows.
 

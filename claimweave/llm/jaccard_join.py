@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import Workspace, documents, pick, plain_words, shingle_hashes, text_batches
+from claimweave.llm.common import Workspace, documents, pick, plain_words, shingle_hashes, text_batches, whole_rows
 
 GROUPS = 64
 LEAF = 256
@@ -512,8 +512,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, width: int, work: W
 def near_duplicates_removed(docs: DataFrame, like: Similar = Similar()) -> DataFrame:
     """Of each component the rows of its smallest doc_id (one of them, if repeated)."""
     found = components(docs, like).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    rows = whole_rows(docs, _doc=F.col("doc_id"), _text=F.col("text"))
+    kept = rows.join(found, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
+    return kept.dropDuplicates(["_doc", "_text"]).select("_all.*")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

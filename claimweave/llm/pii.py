@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import Workspace, documents, pick
+from claimweave.llm.common import Workspace, documents, pick, whole_rows
 from claimweave.workspace import rounds
 
 KINDS = ("email", "ip", "card", "phone")
@@ -69,19 +69,50 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def placed(text: Column, pattern: str) -> Column:
-    """Matches with their start and end in code points and the text before and after."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: a lambda's argument is not computed again."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _walked(pieces: Column) -> Column:
+    """Length of the pieces, and the matches among them with start and end; the array grows by copying."""
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["m"])
+        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
         span = F.struct(start.alias("s"), end.alias("e"), x["m"].alias("m"))
         return F.struct(end.alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
 
-    return F.aggregate(F.arrays_zip(gaps.alias("gap"), found.alias("m")), state, step, lambda acc: acc["out"])
+    return F.aggregate(pieces, state, step)
+
+
+def _positions(pieces: Column) -> Column:
+    """Matches with start and end.  Many pieces are walked in blocks of the root of their number,
+    so the copying stays far below the square of it."""
+    wide = F.ceil(F.sqrt(F.size(pieces))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(1), F.size(pieces), wide), lambda i: _walked(F.slice(pieces, i, wide)))
+
+    def shifted(blocks: Column) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(blocks, none, lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+        def moved(starts: Column) -> Column:
+            def of_block(b: Column, j: Column) -> Column:
+                by = F.element_at(starts["out"], j + 1)
+                return F.transform(b["out"], lambda x: F.struct((x["s"] + by).alias("s"), (x["e"] + by).alias("e"), x["m"].alias("m")))
+
+            return F.flatten(F.transform(blocks, of_block))
+
+        return bound(starts, moved)
+
+    return F.when(F.size(pieces) <= 64, _walked(pieces)["out"]).otherwise(bound(blocks, shifted))
+
+
+def placed(text: Column, pattern: str) -> Column:
+    """Matches with their start and end in code points."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return bound(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("m")), _positions)
 
 
 def base_spans(text: Column) -> Column:
@@ -116,31 +147,44 @@ def spelled(spans: Column) -> Column:
     )
 
 
+def _met(spans: Column, start: Column, end: Column) -> Column:
+    """Does one of the spans (in order, apart from each other) overlap start to end?  By halving."""
+    steps = F.array(*[F.lit(1 << b) for b in range(30, -1, -1)])
+    before = F.aggregate(steps, F.lit(0), lambda at, b: F.when((at + b <= F.size(spans)) & (F.get(spans, at + b - 1)["s"] < end), at + b).otherwise(at))
+    return F.coalesce(F.get(spans, before - 1)["e"] > start, F.lit(False)) & (before > 0)
+
+
 def mentions(scanned: DataFrame) -> DataFrame:
-    """Every identifier-like mention: its row, place, normal form, known kind and contexts."""
+    """Every identifier-like mention: its row, place, normal form, known kind and contexts.
+
+    All of it is put into one struct per mention before the rows are exploded, so no row carries
+    its text or the other mentions.
+    """
     text = F.col("text")
-    gaps = F.split(text, MENTION, -1)
-    rows = scanned.filter(text.rlike("[0-9@]")).select(
-        "_row", "base", placed(text, MENTION).alias("found"), gaps.alias("gaps")
-    )
-    rows = rows.select("_row", "base", F.posexplode("found").alias("i", "x"), "gaps").select(
-        "_row",
-        "base",
-        F.col("x.s").alias("s"),
-        F.col("x.m").alias("m"),
-        F.lower(F.reverse(F.regexp_extract(F.reverse(F.element_at("gaps", F.col("i") + 1)), r"^\s*+(\S++)", 1))).alias("left"),
-        F.lower(F.regexp_extract(F.element_at("gaps", F.col("i") + 2), r"^\s*+(\S++)", 1)).alias("right"),
-    )
-    # punctuation around an identifier is no part of it
-    core = F.regexp_extract("m", r"^[^A-Za-z0-9@+]*+(.*?)[^A-Za-z0-9]*$", 1)
-    lead = F.length(F.regexp_extract("m", r"^[^A-Za-z0-9@+]*+", 0))
-    rows = rows.withColumn("core", core).filter(F.length("core") > 0)
-    start = F.col("s") + lead
-    end = start + F.length("core")
-    kind = F.filter("base", lambda b: (b["s"] < end) & (b["e"] > start))
-    return rows.select(
-        "_row", start.alias("s"), end.alias("e"), F.md5("core").alias("instance"), F.try_element_at(kind, F.lit(1))["k"].alias("kind"), "left", "right"
-    )
+    by_kind = F.struct(*[F.filter("base", lambda b, k=k: b["k"] == k).alias(f"k{k}") for k in range(len(KINDS))])
+    parts = F.struct(placed(text, MENTION).alias("found"), F.split(text, MENTION, -1).alias("gaps"), by_kind.alias("base"))
+
+    def of_text(t: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            # punctuation around an identifier is no part of it
+            core = F.regexp_extract(x["m"], r"^[^A-Za-z0-9@+]*+(.*?)[^A-Za-z0-9]*$", 1)
+            start = x["s"] + F.length(F.regexp_extract(x["m"], r"^[^A-Za-z0-9@+]*+", 0))
+            end = start + F.length(core)
+            kind = F.coalesce(*[F.when(_met(t["base"][f"k{k}"], start, end), F.lit(k)) for k in range(len(KINDS))])
+            return F.struct(
+                start.alias("s"),
+                end.alias("e"),
+                core.alias("core"),
+                kind.alias("kind"),
+                F.lower(F.reverse(F.regexp_extract(F.reverse(F.element_at(t["gaps"], i + 1)), r"^\s*+(\S++)", 1))).alias("left"),
+                F.lower(F.regexp_extract(F.element_at(t["gaps"], i + 2), r"^\s*+(\S++)", 1)).alias("right"),
+            )
+
+        return F.transform(t["found"], one)
+
+    rows = scanned.filter(text.rlike("[0-9@]")).select("_row", F.explode(bound(parts, of_text)).alias("x"))
+    rows = rows.select("_row", "x.*").filter(F.length("core") > 0)
+    return rows.select("_row", "s", "e", F.md5("core").alias("instance"), "kind", "left", "right")
 
 
 def discovered(found: DataFrame, work: Workspace, most: int | None = None) -> DataFrame:
@@ -229,30 +273,61 @@ def personal_data(docs: DataFrame) -> DataFrame:
     )
 
 
+def replaced(text: Column, spans: Column, names: Column) -> Column:
+    """The text with every run of overlapping spans (s, -e, k, in order) replaced by its first one's name.
+
+    Spans are taken in blocks of the root of their number, each with its own part of the text, so
+    that neither finding a place nor adding to the result grows with all of the text.
+    """
+    wide = F.ceil(F.sqrt(F.size(spans))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(1), F.size(spans), wide), lambda i: F.slice(spans, i, wide))
+
+    def all_blocks(blocks: Column) -> Column:
+        last = F.transform(blocks, lambda b: F.array_max(F.transform(b, lambda x: -x["e"])))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(last, none, lambda acc, e: F.struct(F.greatest(acc["at"], e).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+        def from_starts(starts: Column) -> Column:
+            def of_block(b: Column, j: Column) -> Column:
+                first = F.element_at(starts["out"], j + 1)
+                end = F.array_max(F.transform(b, lambda x: -x["e"]))
+                part = F.substr(text, first + 1, F.greatest(end - first, F.lit(0)))
+
+                def of_part(part: Column) -> Column:
+                    def step(acc: Column, x: Column) -> Column:
+                        before = F.substr(part, acc["at"] - first + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))
+                        return F.struct(
+                            F.greatest(acc["at"], -x["e"]).alias("at"),
+                            F.when(x["s"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(before, F.element_at(names, x["k"] + 1)))).alias("out"),
+                        )
+
+                    state = F.struct(first.alias("at"), F.array().cast("array<string>").alias("out"))
+                    return F.aggregate(b, state, step, lambda acc: F.array_join(acc["out"], ""))
+
+                return bound(part, of_part)
+
+            return F.concat(F.array_join(F.transform(blocks, of_block), ""), F.substr(text, starts["at"] + 1))
+
+        return bound(starts, from_starts)
+
+    return bound(blocks, all_blocks)
+
+
 def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; n_chars follows the text."""
     work = Workspace(docs.sparkSession)
     scanned, extra = scanned_rows(docs, work)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     ordered = F.array_sort(F.transform(F.concat("base", "extra"), lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["k"].alias("k"))))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     text = F.coalesce("text", F.lit(""))
-
-    def step(acc: Column, x: Column) -> Column:
-        before = F.substr(text, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))
-        return F.struct(
-            F.greatest(acc["at"], -x["e"]).alias("at"),
-            F.when(x["s"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(before, F.element_at(names, x["k"] + 1)))).alias("out"),
-        )
-
-    whole = F.aggregate(F.col("spans"), state, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)))
-    columns = docs.columns
-    keyed = docs.withColumn("_row", F.struct("doc_id", F.xxhash64(text).alias("h"))).withColumn("base", base_spans(text))
+    whole = replaced(text, F.col("spans"), names)
+    keyed = whole_rows(docs, doc_id=F.col("doc_id"), text=F.col("text"))
+    keyed = keyed.withColumn("_row", F.struct("doc_id", F.xxhash64(text).alias("h"))).withColumn("base", base_spans(text))
     rows = _with_extra(keyed, extra).withColumn("spans", ordered)
     clean = F.when(F.size("spans") == 0, F.col("text")).otherwise(whole)
-    return rows.withColumn("text", clean).select(
-        *[F.length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in columns]
-    )
+    rows = rows.select("_all", clean.alias("clean"))
+    changed = {"text": F.col("clean"), "n_chars": F.length("clean").cast("bigint")}
+    return rows.select(*[changed.get(c, F.col(f"_all.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -429,3 +429,48 @@ def test_pipeline_stages(spark):
         assert 0 < out.count() <= docs.count()
         docs = out
     assert not [t for _, t in pairs_of(docs) if base_by_hand(t)]
+
+
+def test_personal_data_grows_with_the_matches(spark):
+    """20,000 addresses in one text, overlapping kinds among them: blocks give what one walk gives."""
+    import time
+
+    draw = random.Random(2)
+    odd = ["+1 (234) 555-6666", "4111 1111 1111 1111", "é a@b.c%x", "+4111111111111111 10.0.0.1", "999.1.1.1"]
+    for n in (70, 500):
+        text = " ".join(draw.choice(odd) if draw.random() < 0.3 else f"ü 10.{i % 250}.{draw.randint(0, 300)}.7" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        assert pii.personal_data(df).first().base_sha256 == hashlib.sha256(base_by_hand(text).encode()).hexdigest()
+        spans = sorted((int(s), -int(e), list(BASE).index(k)) for k, s, e in (x.split(":") for x in pii.personal_data(df).first().spans.split(",")))
+        out, at = "", 0
+        for s, e, k in spans:
+            if s >= at:
+                out += text[at:s] + f"[{list(BASE)[k].upper()}]"
+            at = max(at, -e)
+        assert pii.masked(df).first().text == out + text[at:]
+    long = " ".join(f"10.{i % 250}.{i // 250 % 250}.7 and" for i in range(20_000))
+    df = spark.createDataFrame([(1, long)], "doc_id long, text string")
+    start = time.perf_counter()
+    assert pii.personal_data(df).first().n_ip == 20_000
+    assert pii.masked(df).first().text == "[IP] and " * 19_999 + "[IP] and"
+    assert time.perf_counter() - start < 90
+
+
+AWKWARD = "_id long, _row string, base string, spans string, extra string, _h long, _doc string, _text string, clean string, doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_no_stage_touches_other_columns(spark):
+    """Columns named like working ones come back as they were, in every stage that returns documents."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    extra = {n.split()[0]: n.split()[1] for n in AWKWARD.split(", ") if n.split()[0] not in docs.columns}
+    docs = docs.select(*[F.concat(F.lit(f"{n}-"), F.col("doc_id").cast("string")).alias(n) if t == "string" else (F.col("doc_id") + k).alias(n) for k, (n, t) in enumerate(extra.items())], "*")
+    before = {r.doc_id: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.schema == docs.schema or name == "personal data" and out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows, name
+        for r in rows:
+            for c in out.columns:
+                assert name == "personal data" and c in ("text", "n_chars") or r[c] == before[r.doc_id][c], (name, c)
