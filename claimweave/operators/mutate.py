@@ -67,14 +67,14 @@ def update(graph: ClaimGraph, requests: DataFrame, tx_seq: int) -> DataFrame:
     """
     text = _text(requests)
     chained = neighbour_in_group(
-        requests.select("l", "p", "r", "ord", *text),
+        requests.select("l", "p", "ord"),
         ["l", "p"],
         "ord",
         {"previous": F.col("ord")},
         forward=False,
     )
-    new = chained.select(*_claim(tx_seq, _new_cid(tx_seq), *map(F.col, ("l", "p", "r", "ord")), *text))
-    first = chained.filter(F.col("previous").isNull()).select("l", "p", "ord")
+    new = requests.select(*_claim(tx_seq, _new_cid(tx_seq), *map(F.col, ("l", "p", "r", "ord")), *text))
+    first = requests.groupBy("l", "p").agg(F.min("ord").alias("ord"))
     live = graph.current().select("l", "p", F.col("cid").alias("old"))
     on_live = live.join(first, ["l", "p"]).select(
         *_hide(tx_seq, _new_cid(tx_seq), F.col("old"), F.col("ord"), text)

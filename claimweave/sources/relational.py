@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions import ids
-from claimweave.functions.ordered import SPAN
+from claimweave.functions.ordered import SPAN, cut
 from claimweave.functions.tables import rule_table
 
 
@@ -140,24 +140,24 @@ def predicate_vocabulary(spark: SparkSession, names: Sequence[str], tx_seq: int
     )
 
 
-def implicit_transactions(claims: DataFrame, order: str, base_seq: int = 0) -> DataFrame:
+def implicit_transactions(claims: DataFrame, order: str, base_seq: int = 0, span: int = SPAN) -> DataFrame:
     """Give each claim its own transaction, numbered by ``order`` after ``base_seq``.
 
-    ``order`` is an integer column unique over the frame.  Ranks come from ranges of it
+    ``order`` is an integer column unique over the frame.  Ranks come from quantile ranges of it
     (see :mod:`claimweave.functions.ordered`), never from one global sort in one task.
     """
-    cut = claims.withColumn("_range", F.floor(F.col(order) / F.lit(SPAN)).cast("bigint"))
+    ranges = cut(claims, [], order, span)
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per range of a million order values.
+    # One row per range, so some thousand at most.
     offsets = (
-        cut.groupBy("_range")
+        ranges.groupBy("_range")
         .agg(F.count(F.lit(1)).alias("_n"))
         .select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
     local = Window.partitionBy("_range").orderBy(order)
     seq = (F.lit(base_seq) + F.col("_offset") + F.col("_local")).cast("bigint")
     return (
-        cut.withColumn("_local", F.row_number().over(local))
+        ranges.withColumn("_local", F.row_number().over(local))
         .join(offsets, "_range")
         .select(
             "cid", "l", "p", "r",

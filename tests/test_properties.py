@@ -8,13 +8,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimweave import ClaimGraph, Workspace, atom, ref, rule
-from claimweave.functions.ordered import neighbour_in_group, number_in_group
+from claimweave.functions.ordered import cut, neighbour_in_group, number_in_group
 from claimweave.functions.skew import attach_sizes
 from claimweave.graph import CLAIMS
 from claimweave.operators import checks, closure, history, lookup, mutate, naming, pairs
 from claimweave.operators.fixpoint import RuleProgram
 from claimweave.operators.lineage import SEPARATOR, lineage, touched
 from claimweave.operators.views import Views
+from claimweave.sources.relational import implicit_transactions
 from claimweave.workspace import unseen
 
 EDGE = ref("edge")
@@ -97,6 +98,27 @@ def test_ranges_give_the_same_order_as_one_window(spark, span):
     assert rows(got.na.fill(-1), "k", "o", "n", "next", "prev") == want
 
 
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_a_hot_group_with_sparse_orders_is_cut_by_rank(spark, keys):
+    """A third of all rows in one group, order values a million apart, some far away."""
+    hot = [("hot", i * 10**6 + (10**15 if i % 50 == 0 else 0)) for i in range(3_000)]
+    data = hot + [(f"k{i % 900}", 7 + i) for i in range(6_000)]
+    df = frame(spark, data, ["k", "o"]).repartition(7)
+    pieces = cut(df, keys, "o", span=100).groupBy(*keys, "_range").count().collect()
+    assert max(r["count"] for r in pieces) <= 150
+    assert sum(r["count"] for r in pieces) == len(data)
+    if keys:
+        assert len([r for r in pieces if r["k"] == "hot"]) <= 2 * 30 + 1
+        w = Window.partitionBy("k").orderBy("o")
+        want = rows(df.select("k", "o", F.row_number().over(w).cast("bigint"), F.lead("o").over(w)).na.fill(-1))
+        got = neighbour_in_group(number_in_group(df, ["k"], "o", "n", span=100), ["k"], "o", {"next": F.col("o")}, span=100)
+        assert rows(got.na.fill(-1), "k", "o", "n", "next") == want
+    else:
+        claims_ = df.select(F.concat("k", F.col("o").cast("string")).alias("cid"), F.lit("l").alias("l"), F.lit("p").alias("p"), F.lit("r").alias("r"), F.col("o").alias("ord"))
+        seqs = rows(implicit_transactions(claims_, "ord", 5, span=100), "ord", "tx_seq")
+        assert seqs == [(o, 6 + i) for i, o in enumerate(sorted(o for _, o in data))]
+
+
 @pytest.mark.parametrize("few", [0, 100])
 def test_unseen_rows(spark, few):
     known = Workspace(spark).save(frame(spark, [(1, 2), (3, 4)], ["a", "b"]), "known")
