@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from claimweave.functions import ids
 from claimweave.functions.ordered import neighbour_in_group
 from claimweave.functions.tables import rule_table
-from claimweave.operators import checks, lookup, reports
+from claimweave.operators import checks, lookup, moves, reports
 from claimweave.plans.registry import analysis, table
 from claimweave.plans.shop import activity
+from claimweave.workspace import Workspace
 
 GROUP_OF = (("view", "active"), ("signup", "blocked"), ("purchase", "terminal"), ("error", "escalated"))
 TRANSITIONS = (
@@ -202,6 +203,38 @@ def _(spark, sf):
     )
 
 
+# Each user's events in their order; a step per event, all users at once.
+_TO_THE_END = (
+    f"RECURSIVE {_STATE}, q AS (SELECT user_id, event_id, event_type AS target, "
+    "row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), "
+    "w AS (SELECT user_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS ord, CAST(NULL AS VARCHAR) AS met, "
+    "CAST(NULL AS VARCHAR) AS target, false AS allowed, state FROM s "
+    "UNION ALL SELECT q.user_id, q.k, q.event_id, w.state, q.target, t.a IS NOT NULL, "
+    "CASE WHEN t.a IS NOT NULL THEN q.target ELSE w.state END "
+    "FROM w JOIN q ON q.user_id = w.user_id AND q.k = w.k + 1 LEFT JOIN t ON t.a = w.state AND t.b = q.target)"
+)
+
+
+def _moved(spark, sf):
+    return moves.move_to_the_end(user_states(spark, sf), move_requests(spark, sf), transitions(spark), Workspace(spark))
+
+
+@analysis(
+    "moves_to_the_end",
+    f"WITH {_TO_THE_END} SELECT 'e:user/' || user_id AS entity, ord, met AS state, target, allowed FROM w WHERE k > 0",
+)
+def _(spark, sf):
+    return _moved(spark, sf)[1]
+
+
+@analysis(
+    "states_after_all_moves",
+    f"WITH {_TO_THE_END} SELECT 'e:user/' || user_id AS entity, arg_max(state, k) AS state FROM w GROUP BY user_id",
+)
+def _(spark, sf):
+    return _moved(spark, sf)[0]
+
+
 _ROLE = "CASE c_mktsegment WHEN 'BUILDING' THEN 'admin' WHEN 'MACHINERY' THEN 'senior' WHEN 'HOUSEHOLD' THEN 'agent' END"
 
 
