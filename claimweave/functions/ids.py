@@ -9,6 +9,8 @@ its digest (``v:s#<sha256>``) to keep join keys short.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,12 +58,28 @@ def python_literal(value: object) -> tuple[str, str]:
     if isinstance(value, int):
         return "i", str(value)
     if isinstance(value, float):
-        return "d", repr(value)
+        return "d", double_text(value)
     if isinstance(value, str):
         return "s", value
     raise TypeError(f"not a literal: {value!r}")
 
 
+def double_text(value: float) -> str:
+    """The text that a column of doubles casts to, so that constants meet it."""
+    from pyspark import SparkContext
+
+    running = SparkContext._active_spark_context
+    if running is not None:
+        return running._jvm.java.lang.Double.toString(value)
+    if value != value or value in (float("inf"), float("-inf")):
+        return {"inf": "Infinity", "-inf": "-Infinity"}.get(repr(value), "NaN")
+    if value == 0 or 1e-3 <= abs(value) < 1e7:
+        return repr(value)
+    sign, digits, exponent = Decimal(repr(value)).as_tuple()
+    text = "".join(map(str, digits)).rstrip("0")
+    return f"{'-' if sign else ''}{text[0]}.{text[1:] or '0'}E{exponent + len(digits) - 1}"
+
+
 def literal_id(value: object) -> str:
     """The value id of a Python constant, computed on the driver."""
     import hashlib

@@ -23,7 +23,7 @@ from claimweave.plans.shop import (
     values_of,
 )
 from claimweave.rules import atom, ref
-from claimweave.sources.export import read_export
+from claimweave.sources.export import read_export, write_export
 from claimweave.sources.relational import (
     TableSpec,
     implicit_transactions,
@@ -127,6 +127,85 @@ def _(spark, sf):
     return _with_agent(_exports(spark, sf, 1))
 
 
+def _numbered_exports(spark, sf):
+    """Documents with numbers for ids: one that gives the predicates their symbols, one per customer.
+
+    A customer's name is claimed, then claimed anew; the list hides the first claim, and of
+    customers with an even key the weight too, which no claim supersedes.
+    """
+    path = Workspace(spark).path("export-numbers")
+    symbols = (
+        '{"version":2,"values":[["2","symbol"],["4","name"],["6","supersedes"],["8","balance"]],"claims":[["30","1","1","2"],'
+        '["31","3","1","4"],["32","5","1","6"],["33","7","1","8"]],"claim-txs":[["30","9"],["31","9"],["32","9"],["33","9"]],"tx-meta":[["9",1]]}'
+    )
+    customers = table(spark, sf, "customer")
+    number = lambda k: F.concat(F.lit('"'), (F.col("c_custkey") * 100 + k).cast("string"), F.lit('"'))
+    ids = {f"#{k}": number(k) for k in (10, 11, 12, 13, 20, 21, 22, 23, 30, 31)}
+    name = F.regexp_replace(F.to_json(F.array("c_name")), r"^\[|\]$", "")
+    text = F.lit(
+        '{"version":2,"values":[[#11,@N],[#12,@O],[#13,@B]],"claims":[[#20,#10,"3",#11],[#21,#10,"3",#12],[#22,#21,"5",#20],'
+        '[#23,#10,"7",#13]],"superseded":[#20@E],"claim-txs":[[#20,#30],[#21,#31],[#22,#31],[#23,#30]],"tx-meta":[[#30,2],[#31,3,"ann"]]}'
+    )
+    for mark, column in ids.items():
+        text = F.replace(text, F.lit(mark), column)
+    text = F.replace(text, F.lit("@E"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(","), ids["#23"])).otherwise(""))
+    text = F.replace(text, F.lit("@B"), F.col("c_acctbal").cast("double").cast("string"))
+    text = F.replace(F.replace(text, F.lit("@O"), F.concat(F.lit('"new '), F.substr(name, F.lit(2)))), F.lit("@N"), name)
+    rows = customers.select(text.alias("value")).unionByName(spark.range(1).select(F.lit(symbols).alias("value")))
+    rows.write.text(path)
+    return read_export(spark, path, lines=True)
+
+
+@analysis(
+    "import_export_numbers",
+    "SELECT CAST(c_custkey * 100 + 10 AS VARCHAR) AS l, 'name' AS p, 'new ' || c_name AS lit, CAST(NULL AS DOUBLE) AS num FROM customer "
+    "UNION ALL SELECT CAST(c_custkey * 100 + 10 AS VARCHAR), 'balance', NULL, CAST(c_acctbal AS DOUBLE) FROM customer WHERE c_custkey % 2 = 1 "
+    "UNION ALL SELECT CAST(c_custkey * 100 + 21 AS VARCHAR), 'supersedes', NULL, NULL FROM customer "
+    "UNION ALL SELECT CAST(c_custkey * 100 + 23 AS VARCHAR), 'supersedes', NULL, NULL FROM customer WHERE c_custkey % 2 = 0 "
+    "UNION ALL SELECT l, 'symbol', s, NULL FROM (VALUES ('1', 'symbol'), ('3', 'name'), ('5', 'supersedes'), ('7', 'balance')) v(l, s)",
+)
+def _(spark, sf):
+    graph = _numbered_exports(spark, sf)
+    live = graph.ground(graph.current().select("l", "p", "r"), "r", "text")
+    number = F.col("p") == "balance"
+    return live.select("l", "p", F.when(~number, F.col("text")).alias("lit"), F.when(number, F.col("text").cast("double")).alias("num"))
+
+
+_DEFINED = f"SELECT 'c:predicate/' || p || '/symbol' AS cid, 'e:predicate/' || p AS l, 'symbol' AS p, 'v:s:' || p AS r FROM (SELECT DISTINCT p FROM ({SQL_SHOP}))"
+
+
+def _defined_shop(spark, sf) -> ClaimGraph:
+    graph = shop(spark, sf)
+    names = graph.claims.select(F.col("p").alias("name")).distinct().withColumn("symbol", F.col("name")).withColumn("o", F.xxhash64("name"))
+    return graph.with_claims(table_claims(names, TableSpec("predicate", "name", {"symbol": "symbol"}, order="o")))
+
+
+@analysis(
+    "export_round_trip",
+    f"SELECT cid, l, p, r, ord FROM ({SQL_SHOP}) UNION ALL SELECT cid, l, p, r, NULL FROM ({_DEFINED})",
+)
+def _(spark, sf):
+    # The whole graph is written as JSON and read back; predicates travel as the objects they are.
+    path = Workspace(spark).path("export")
+    write_export(_defined_shop(spark, sf), path)
+    back = read_export(spark, path, lines=True)
+    return back.claims.select("cid", "l", "p", "r", F.when(F.col("p") != "symbol", F.col("ord")).alias("ord"))
+
+
+@analysis(
+    "exported_predicates",
+    f"SELECT l AS p, count(*) AS claims FROM (SELECT 'e:predicate/' || p AS l FROM ({SQL_SHOP})) GROUP BY l "
+    f"UNION ALL SELECT '1', count(*) FROM ({_DEFINED})",
+)
+def _(spark, sf):
+    # What is written, read as plain JSON: predicates are ids, ``1`` gives symbols.
+    path = Workspace(spark).path("export")
+    write_export(_defined_shop(spark, sf), path)
+    lines = spark.read.schema("claims array<array<string>>").json(path)
+    claims = lines.select(F.explode("claims").alias("c")).select(F.col("c")[2].alias("p"))
+    return claims.groupBy("p").agg(F.count(F.lit(1)).alias("claims"))
+
+
 @analysis(
     "define_predicates",
     f"SELECT DISTINCT 'c:predicate/' || p || '/symbol' AS cid, 'e:predicate/' || p AS l, "

@@ -15,7 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.functions.ids import long_text, value_id
+from claimweave.functions.ids import double_text, long_text, value_id
 
 SYNTAX = (
     "path string, nid int, parent int, field string, pos int, type string, name string, "
@@ -43,8 +43,9 @@ def _literal(node: ast.AST) -> tuple[str | None, str | None]:
         return "b", "true" if value else "false"
     if value is None:
         return "n", "null"
-    kinds = {int: "i", float: "d", str: "s"}
-    return kinds.get(type(value), "s"), str(value)
+    if isinstance(value, float):
+        return "d", double_text(value)
+    return "i" if isinstance(value, int) else "s", str(value)
 
 
 def _row(path, nid, parent, field, pos, node, fn, owner, above) -> tuple:
