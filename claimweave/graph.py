@@ -14,7 +14,9 @@ from claimweave.workspace import empty_frame
 CLAIMS = "cid string, l string, p string, r string, tx_id string, tx_seq bigint, ord bigint"
 VALUES = "vid string, lit_type string, lit string"
 TXS = "tx_id string, seq bigint, agent string"
-RULES = "rule_id string, head_rel string, source string, live boolean, replaced_by string"
+# An atom as data: kinds of arguments are var, ref and the literal types.
+ATOM = "struct<rel: string, args: array<struct<kind: string, text: string>>>"
+RULES = f"rule_id string, head_rel string, source string, live boolean, replaced_by string, head {ATOM}, body array<{ATOM}>"
 
 SUPERSEDES = "supersedes"
 

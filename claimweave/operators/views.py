@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.functions.tables import rule_table
 from claimweave.graph import SUPERSEDES, ClaimGraph
 from claimweave.operators.conjunctive import bind_atom, graph_frames, join_body
 from claimweave.operators.fixpoint import (
@@ -277,26 +276,3 @@ class _Part(ClaimGraph):
 
     def current(self, l=None, p=None, r=None) -> DataFrame:
         return self.claims_where(l, p, r)
-
-
-# -- rule catalogue ------------------------------------------------------------
-
-
-def rule_rows(graph: ClaimGraph, rules: list[Rule]) -> DataFrame:
-    """Catalogue rows of live rules."""
-    return rule_table(
-        graph.spark,
-        ("rule_id", "head_rel", "source", "live", "replaced_by"),
-        [(r.rule_id, r.head.rel, r.source(), True, None) for r in rules],
-    )
-
-
-def replaced(catalogue: DataFrame, old_id: str, new: DataFrame) -> DataFrame:
-    """The catalogue after a replacement; the old rule stays as history."""
-    hit = F.col("rule_id") == old_id
-    new_id = new.select(F.max("rule_id")).first()[0]
-    old = catalogue.withColumn("live", F.col("live") & ~hit).withColumn(
-        "replaced_by", F.when(hit, F.lit(new_id)).otherwise(F.col("replaced_by"))
-    )
-    return old.unionByName(new)
-

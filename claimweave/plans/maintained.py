@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimweave.functions import ids
+from claimweave.operators.catalogue import catalogue_with_tuples, derived_again, replaced, rule_rows
 from claimweave.operators.fixpoint import RuleProgram
 from claimweave.operators.lineage import keyed, lineage, touched
 from claimweave.operators.mutate import assert_claims, invalidate, supersede
 from claimweave.operators.support import SupportedViews
-from claimweave.operators.views import Views, replaced, rule_rows
+from claimweave.operators.views import Views
 from claimweave.plans.recursion import SQL_WITHIN, containment
 from claimweave.plans.registry import analysis, once, stored_graph, table
 from claimweave.plans.shop import PLACES, claims_of, shop
@@ -342,23 +343,42 @@ def _(spark, sf):
     return views.relation("two-up")
 
 
+def _two_up_again():
+    return rule(atom("two-up", "?x", "?z"), *_same_place().body, rule_id="rule:two-up/2")
+
+
+def _restored(spark, sf):
+    """All places with the rules of containment and one replaced rule, stored and read back."""
+    old = _same_place()
+    catalogue = replaced(rule_rows(spark, [*within().rules, old]), old.rule_id, rule_rows(spark, [_two_up_again()]))
+    return stored_graph(spark, claims_of(spark, sf, *PLACES), "rules", rules=catalogue)
+
+
+_ONE_STEP, _MORE_STEPS = (r.rule_id for r in within().rules)
+
+
 @analysis(
     "rule_catalogue",
-    "SELECT 'rule:two-up/1' AS rule_id, 'two-up' AS head_rel, false AS live, 'rule:two-up/2' AS replaced_by, "
-    "count(*) AS claims FROM customer "
-    "UNION ALL SELECT 'rule:two-up/2', 'two-up', true, NULL, count(*) FROM customer",
+    f"WITH RECURSIVE {_EDGES}, {_PATHS.format(e='e')}, "
+    "one AS (SELECT count(*) AS n FROM (SELECT DISTINCT src, dst FROM e)), "
+    "two AS (SELECT count(*) AS n FROM (SELECT DISTINCT e.src, p.dst FROM e JOIN p ON e.dst = p.src)) "
+    f"SELECT '{_ONE_STEP}' AS rule_id, 'within' AS head_rel, true AS live, CAST(NULL AS VARCHAR) AS replaced_by, n AS tuples FROM one "
+    f"UNION ALL SELECT '{_MORE_STEPS}', 'within', true, NULL, n FROM two "
+    "UNION ALL SELECT 'rule:two-up/1', 'two-up', false, 'rule:two-up/2', NULL "
+    "UNION ALL SELECT 'rule:two-up/2', 'two-up', true, NULL, n FROM two",
 )
 def _(spark, sf):
-    # The catalogue is stored next to the claims and read back with them.
-    graph = shop(spark, sf)
-    old = _same_place()
-    new = rule(atom("two-up", "?x", "?z"), *old.body, rule_id="rule:two-up/2")
-    catalogue = replaced(rule_rows(graph, [old]), old.rule_id, rule_rows(graph, [new]))
-    claims = claims_of(spark, sf, "customer").filter("p = 'name'")
-    stored = stored_graph(spark, claims, "rules", rules=catalogue)
-    n = stored.claims.agg(F.count(F.lit(1)).alias("claims"))
-    return stored.rules.withColumn("k", F.lit(1)).join(n.withColumn("k", F.lit(1)), "k").select(
-        "rule_id", "head_rel", "live", "replaced_by", "claims"
-    )
+    # The catalogue is stored next to the claims, read back with them and derives again.
+    return catalogue_with_tuples(_restored(spark, sf))
 
 
+@analysis(
+    "restored_rules_derive",
+    f"WITH RECURSIVE {_EDGES}, {_PATHS.format(e='e')} SELECT 'within' AS rel, src AS a0, dst AS a1 FROM p "
+    "UNION ALL SELECT DISTINCT 'two-up', e.src, p.dst FROM e JOIN p ON e.dst = p.src",
+)
+def _(spark, sf):
+    found = derived_again(_restored(spark, sf))
+    return found["within"].select(F.lit("within").alias("rel"), "a0", "a1").unionByName(
+        found["two-up"].select(F.lit("two-up").alias("rel"), "a0", "a1")
+    )

@@ -138,7 +138,9 @@ class GraphStore:
         seen = Observation()
         self._write(txs.select("tx_id", "seq", "agent", stamp).observe(seen, F.max("seq").alias("seq")), "txs", folder)
         if rules is not None:
-            self._write(rules.select(*[f.name for f in StructType.fromDDL(RULES)], stamp), "rules", folder)
+            # rules that are text only have no atoms
+            fields = [F.col(f.name) if f.name in rules.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(RULES)]
+            self._write(rules.select(*fields, stamp), "rules", folder)
         max_seq = int(seen.get["seq"] or 0)
         self._enter(now, kind="add", batch=batch, folder=folder, n_claims=n_claims, max_seq=max_seq, rules=rules is not None, replaces=self.folder_of(batch, now), covers=[])
         if now.n_tail >= TAIL:
@@ -160,9 +162,10 @@ class GraphStore:
         seen = Observation()
         (
             claims.select("cid", "l", "r", "tx_id", "tx_seq", "ord", "batch", "p")
-            .observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(is_long_value(F.col("r")) | is_long_value(F.col("l"))).alias("long"))
             .repartitionByRange("p", "l")
             .sortWithinPartitions("p", "l")
+            # last, since a batch without claims leaves no stage below the exchange to count in
+            .observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(is_long_value(F.col("r")) | is_long_value(F.col("l"))).alias("long"))
             .write.partitionBy("p")
             .parquet(f"{self.root}/claims/folder={folder}")
         )
