@@ -167,6 +167,9 @@ def _(spark, sf):
 # -- changes ---------------------------------------------------------------------
 
 
+_POOR_NAMES = "SELECT 'c:supplier/' || s_suppkey || '/name' AS cid FROM supplier WHERE s_acctbal < 3000 AND s_name IS NOT NULL"
+
+
 def _after(graph, more):
     return graph.with_claims(more)
 
@@ -174,9 +177,10 @@ def _after(graph, more):
 @analysis(
     "supersede_claims",
     f"WITH c AS ({SQL_SHOP}) SELECT cid, l, p, r FROM c WHERE NOT (p = 'segment' AND r = 'v:s:BUILDING') "
-    "AND l LIKE 'e:customer/%' "
     "UNION ALL SELECT 'c:2/' || (1000000000000000 + c_custkey), 'e:customer/' || c_custkey, 'segment', 'v:s:HOUSING' "
-    "FROM customer WHERE c_mktsegment = 'BUILDING'",
+    "FROM customer WHERE c_mktsegment = 'BUILDING' "
+    "UNION ALL SELECT 'c:2/hide/c:customer/' || c_custkey || '/segment', 'c:2/' || (1000000000000000 + c_custkey), 'supersedes', "
+    "'c:customer/' || c_custkey || '/segment' FROM customer WHERE c_mktsegment = 'BUILDING'",
 )
 def _(spark, sf):
     graph = shop(spark, sf)
@@ -185,15 +189,13 @@ def _(spark, sf):
         F.col("cid").alias("old_cid"), "l", "p", F.lit("v:s:HOUSING").alias("r"),
         (F.lit(NOW) + F.substring("l", 12, 20).cast("bigint")).alias("ord"),
     )
-    after = _after(graph, mutate.supersede(requests, 2))
-    live = after.current().filter(F.col("l").startswith("e:customer/"))
-    return live.select("cid", "l", "p", "r")
+    return _after(graph, mutate.supersede(requests, 2)).current().select("cid", "l", "p", "r")
 
 
 @analysis(
     "invalidate_claims",
-    "SELECT 'e:supplier/' || s_suppkey AS l, 'name' AS p FROM supplier WHERE s_acctbal >= 3000 "
-    "UNION ALL SELECT 'e:supplier/' || s_suppkey, 'located-in' FROM supplier",
+    f"WITH c AS ({SQL_SHOP}), d AS ({_POOR_NAMES}) SELECT l, p, r FROM c WHERE cid NOT IN (SELECT cid FROM d) "
+    "UNION ALL SELECT 'e:marker/' || cid, 'supersedes', cid FROM d",
 )
 def _(spark, sf):
     graph = shop(spark, sf)
@@ -201,12 +203,13 @@ def _(spark, sf):
         F.concat(F.lit("c:supplier/"), F.col("s_suppkey").cast("string"), F.lit("/name")).alias("cid")
     )
     after = _after(graph, mutate.invalidate(doomed, 2))
-    return after.current().filter(F.col("l").startswith("e:supplier/")).select("l", "p")
+    return after.current().select("l", "p", "r")
 
 
 @analysis(
     "supersession_is_one_way",
-    "SELECT 'e:supplier/' || s_suppkey AS l FROM supplier WHERE s_acctbal >= 3000",
+    f"WITH c AS ({SQL_SHOP}), d AS ({_POOR_NAMES}) SELECT l, p, r FROM c WHERE cid NOT IN (SELECT cid FROM d) "
+    "UNION ALL SELECT 'e:marker/c:2/hide/' || cid, 'supersedes', 'c:2/hide/' || cid FROM d",
 )
 def _(spark, sf):
     # Hiding the hiding claims revives nothing.
@@ -217,7 +220,7 @@ def _(spark, sf):
     once_hidden = mutate.invalidate(doomed.select("cid"), 2)
     twice = mutate.invalidate(once_hidden.select("cid"), 3)
     after = _after(_after(graph, once_hidden), twice)
-    return after.current(p="name").filter(F.col("l").startswith("e:supplier/")).select("l")
+    return after.current().select("l", "p", "r")
 
 
 def _segment_updates(spark, sf):
@@ -257,29 +260,30 @@ def _(spark, sf):
 
 @analysis(
     "retract_properties",
-    "SELECT p, count(*) AS n FROM (SELECT 'segment' AS p FROM customer WHERE c_nationkey <> 3 "
-    "UNION ALL SELECT 'located-in' FROM customer UNION ALL SELECT 'name' FROM customer) GROUP BY p",
+    f"WITH c AS ({SQL_SHOP}), d AS (SELECT 'c:customer/' || c_custkey || '/segment' AS cid FROM customer WHERE c_nationkey = 3) "
+    "SELECT l, p, r FROM c WHERE cid NOT IN (SELECT cid FROM d) "
+    "UNION ALL SELECT 'e:marker/' || cid, 'supersedes', cid FROM d WHERE cid IN (SELECT cid FROM c)",
 )
 def _(spark, sf):
     graph = shop(spark, sf)
     requests = graph.current(p="located-in", r="e:nation/3").select("l", F.lit("segment").alias("p"))
-    after = _after(graph, mutate.retract(graph, requests, 2))
-    live = after.current().filter(F.col("l").startswith("e:customer/"))
-    return live.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    return _after(graph, mutate.retract(graph, requests, 2)).current().select("l", "p", "r")
 
 
 @analysis(
     "unlink_memberships",
-    "SELECT 'e:customer/' || c_custkey AS l, 'e:nation/' || c_nationkey AS r FROM customer WHERE c_acctbal >= 5000",
+    f"WITH c AS ({SQL_SHOP}), d AS (SELECT 'c:customer/' || c_custkey || '/located-in' AS cid FROM customer WHERE c_acctbal < 5000) "
+    "SELECT l, p, r FROM c WHERE cid NOT IN (SELECT cid FROM d) "
+    "UNION ALL SELECT 'e:marker/' || cid, 'supersedes', cid FROM d WHERE cid IN (SELECT cid FROM c)",
 )
 def _(spark, sf):
     graph = shop(spark, sf)
-    links = graph.current(p="located-in").filter(F.col("l").startswith("e:customer/"))
+    links = graph.current(p="located-in")
     poor = table(spark, sf, "customer").filter("c_acctbal < 5000")
     poor = poor.select(ids.entity_id("customer", "c_custkey").alias("l"))
     requests = links.join(poor, "l", "left_semi").select("l", "p", "r")
     after = _after(graph, mutate.unlink(graph, requests, 2))
-    return after.current(p="located-in").filter(F.col("l").startswith("e:customer/")).select("l", "r")
+    return after.current().select("l", "p", "r")
 
 
 @analysis(
@@ -324,6 +328,13 @@ _SUBTREE = (
 )
 
 
+# All claims with the child links beside the links to the parent.
+_LINKED = (
+    f"shop AS ({SQL_SHOP}), c AS (SELECT cid, l, p, r FROM shop "
+    "UNION ALL SELECT cid || '/child', r, 'has-part', l FROM shop WHERE p = 'part-of')"
+)
+
+
 def _brand_seven(spark, sf):
     parts = table(spark, sf, "part").filter("p_brand = 'Brand#7'")
     return parts.select(F.col("p_partkey").alias("id"))
@@ -340,22 +351,26 @@ def _with_parts(graph):
 
 @analysis(
     "remove_subtrees",
-    f"WITH {_SUBTREE}, c AS ({SQL_SHOP}) SELECT l, p, r FROM c WHERE l LIKE 'e:part/%' "
-    "AND l NOT IN (SELECT 'e:part/' || k FROM sub)",
+    f"WITH {_SUBTREE}, {_LINKED}, gone AS (SELECT 'e:part/' || k AS l FROM sub) "
+    "SELECT l, p, r FROM c WHERE l NOT IN (SELECT l FROM gone) "
+    "UNION ALL SELECT 'e:marker/' || cid, 'supersedes', cid FROM c WHERE l IN (SELECT l FROM gone)",
 )
 def _(spark, sf):
     graph = _with_parts(shop(spark, sf))
     roots = _brand_seven(spark, sf).select(ids.entity_id("part", "id").alias("node"))
     after = _after(graph, mutate.remove_subtrees(graph, roots, ["has-part"], 2))
-    live = after.current().filter(F.col("l").startswith("e:part/") & (F.col("p") != "has-part"))
-    return live.select("l", "p", "r")
+    return after.current().select("l", "p", "r")
 
 
 @analysis(
     "replace_subtrees",
-    f"WITH {_SUBTREE}, c AS ({SQL_SHOP}) SELECT l, p, r FROM c WHERE l LIKE 'e:part/%' AND p <> 'name' "
-    "AND l NOT IN (SELECT 'e:part/' || k FROM sub WHERE k NOT IN (SELECT k FROM roots)) "
-    "UNION ALL SELECT l, p, r FROM c WHERE l LIKE 'e:part/%' AND p = 'name' AND l NOT IN (SELECT 'e:part/' || k FROM sub) "
+    f"WITH {_SUBTREE}, {_LINKED}, top AS (SELECT 'e:part/' || k AS l, k FROM roots), "
+    "below AS (SELECT 'e:part/' || k AS l FROM sub WHERE k NOT IN (SELECT k FROM roots)), "
+    "cut AS (SELECT cid FROM c WHERE l IN (SELECT l FROM below) OR (p = 'has-part' AND l IN (SELECT l FROM top))), "
+    "old AS (SELECT cid, k FROM c JOIN top ON c.l = top.l WHERE p = 'name') "
+    "SELECT l, p, r FROM c WHERE cid NOT IN (SELECT cid FROM cut) AND cid NOT IN (SELECT cid FROM old) "
+    "UNION ALL SELECT 'e:marker/' || cid, 'supersedes', cid FROM cut "
+    "UNION ALL SELECT 'c:2/' || (1000000000000000 + k), 'supersedes', cid FROM old "
     "UNION ALL SELECT 'e:part/' || k, 'name', 'v:s:new ' || k FROM roots "
     "UNION ALL SELECT 'e:part/' || k, 'has-part', 'e:part/new-' || k FROM roots "
     "UNION ALL SELECT 'e:part/new-' || k, 'brand', 'v:s:NEW' FROM roots",
@@ -382,6 +397,4 @@ def _(spark, sf):
         graph, roots, mutate.assert_claims(fresh, 2), ["has-part"], 2, new_names=names
     )
     after = _after(graph, more)
-    live = after.current().filter(F.col("l").startswith("e:part/"))
-    made = live.filter((F.col("p") != "has-part") | F.col("r").startswith("e:part/new-"))
-    return made.select("l", "p", "r")
+    return after.current().select("l", "p", "r")
