@@ -87,6 +87,16 @@ def _(spark, sf):
     )
 
 
+@analysis(
+    "parts_without_children",
+    "SELECT p_partkey AS node FROM part EXCEPT SELECT p_partkey // 2 FROM part WHERE p_partkey > 0",
+)
+def _(spark, sf):
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("node"))
+    parents = table(spark, sf, "part").filter("p_partkey > 0").select(F.expr("p_partkey div 2").alias("node"))
+    return reports.difference(parts, parents)
+
+
 _HOPS = (
     "WITH e AS ({edges}), h2 AS (SELECT DISTINCT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src), "
     "h3 AS (SELECT DISTINCT h2.src, e.dst FROM h2 JOIN e ON h2.dst = e.src) "

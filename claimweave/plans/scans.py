@@ -11,15 +11,12 @@ from claimweave.operators.conjunctive import query
 from claimweave.operators.mutate import rename
 from claimweave.plans.registry import analysis, once, stored_graph, table
 from claimweave.plans.shop import (
-    PLACES,
     SPECS,
     SQL_ACTIVITY,
-    SQL_PLACES,
     SQL_SHOP,
     activity,
     claims_of,
     shop,
-    sql_claims,
     values_of,
 )
 from claimweave.rules import atom, ref
@@ -51,20 +48,11 @@ def _(spark, sf):
 
 @analysis(
     "store_and_restore",
-    f"SELECT p, count(*) AS claims, count(DISTINCT l) AS subjects, min(ord) AS first_ord, "
-    f"max(ord) AS last_ord FROM ({SQL_SHOP}) GROUP BY p",
-)
-def _(spark, sf):
-    return (
-        shop(spark, sf)
-        .claims.groupBy("p")
-        .agg(
-            F.count(F.lit(1)).alias("claims"),
-            F.countDistinct("l").alias("subjects"),
-            F.min("ord").alias("first_ord"),
-            F.max("ord").alias("last_ord"),
-        )
-    )
+    f"SELECT cid, l, p, r, ord, CASE WHEN r LIKE 'v:%' THEN substr(r, 5) END AS lit FROM ({SQL_SHOP})",
+)
+def _(spark, sf):
+    graph = shop(spark, sf)
+    return graph.ground(graph.claims.select("cid", "l", "p", "r", "ord"), "r", "lit")
 
 
 def _exports(spark, sf, version: int):
@@ -476,6 +464,19 @@ def _(spark, sf):
     return by_literal.unionByName(by_link.withColumn("why", F.lit("nation")))
 
 
+@analysis(
+    "find_by_double",
+    "SELECT 'e:supplier/' || s_suppkey AS l, CASE WHEN s_acctbal >= 6000 THEN 1e10 WHEN s_acctbal >= 3000 THEN 2.5e-7 ELSE -0.125 END AS lim FROM supplier",
+)
+def _(spark, sf):
+    # A constant meets the claims of its column, however large or small it is.
+    limit = F.when(F.col("s_acctbal") >= 6000, F.lit(1e10)).when(F.col("s_acctbal") >= 3000, F.lit(2.5e-7)).otherwise(F.lit(-0.125))
+    rows = table(spark, sf, "supplier").withColumn("lim", limit)
+    graph = ClaimGraph(table_claims(rows, TableSpec("supplier", "s_suppkey", {"lim": "limit"})))
+    found = [lookup.find_by(graph, "limit", x).withColumn("lim", F.lit(x)) for x in (1e10, 2.5e-7, -0.125)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @analysis(
     "display_names",
     "SELECT 'e:order/' || o_orderkey AS o, coalesce(c_name, 'e:customer/' || o_custkey) AS customer "
@@ -631,32 +632,28 @@ def _(spark, sf):
 
 @analysis(
     "projection_written",
-    f"SELECT p, count(*) AS n FROM ({sql_claims(*PLACES)}) GROUP BY p",
+    f"SELECT cid, l, p, r FROM ({SQL_SHOP})",
 )
 def _(spark, sf):
     folder = Workspace(spark).path("projection")
-    graph = ClaimGraph(claims_of(spark, sf, *PLACES))
-    kinds = ("name", "segment", "located-in")
+    graph = shop(spark, sf)
+    kinds = [r.p for r in graph.claims.select("p").distinct().collect()]  # the columns of the tables
     write_projection({p: graph.claims_where(p=p) for p in kinds}, folder)
-    return (
-        spark.read.parquet(*[f"{folder}/{p}" for p in kinds])
-        .groupBy("p")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return spark.read.parquet(*[f"{folder}/{p}" for p in kinds]).select("cid", "l", "p", "r")
 
 
 @analysis(
     "atomic_batches",
-    f"SELECT p, count(*) AS n FROM ({SQL_PLACES}) GROUP BY p",
+    f"SELECT cid, l, p, r, ord FROM ({SQL_SHOP})",
 )
 def _(spark, sf):
     # Two batches land, a third is rejected as a whole by a violation.
     store = GraphStore(spark, Workspace(spark).path("batches"))
-    store.commit("one", claims_of(spark, sf, "customer", "supplier"))
+    store.commit("one", claims_of(spark, sf, "customer", "supplier", "orders", "part"))
     second = claims_of(spark, sf, "nation", "region")
     store.commit("two", second)
     try:
         store.commit("three", second, validate=second.filter(F.col("p") == "name"))
     except ValueError:
         pass
-    return store.graph().claims.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    return store.graph().claims.select("cid", "l", "p", "r", "ord")
