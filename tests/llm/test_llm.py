@@ -474,3 +474,26 @@ def test_no_stage_touches_other_columns(spark):
         for r in rows:
             for c in out.columns:
                 assert name == "personal data" and c in ("text", "n_chars") or r[c] == before[r.doc_id][c], (name, c)
+
+
+def test_components_of_chains_hubs_and_repeated_links(spark):
+    from claimweave.llm.jaccard_join import connected
+    from claimweave.workspace import Workspace
+
+    rng = random.Random(9)
+    chain = [(i, i + 1) for i in range(200, 260)]
+    hub = [(500, 500 + i) for i in range(1, 80)] + [(900 + i, 500 + i) for i in range(5)]
+    loose = [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(60)]
+    links = chain + hub + loose + chain[:7] + [(b, a) for a, b in hub[:9]] + [(7, 7)]
+    smallest = {n: n for pair in links for n in pair}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(smallest[a], smallest[b])
+            changed |= smallest[a] != low or smallest[b] != low
+            smallest[a] = smallest[b] = low
+    linked = {n for a, b in links if a != b for n in (a, b)}
+    got = [tuple(r) for r in connected(spark.createDataFrame(links, "a bigint, b bigint"), Workspace(spark)).collect()]
+    assert sorted(got) == sorted((n, smallest[n]) for n in linked)
+    assert connected(spark.createDataFrame([], "a bigint, b bigint"), Workspace(spark)).count() == 0
