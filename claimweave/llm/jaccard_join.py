@@ -20,6 +20,10 @@ only links that join two components leave a task, so a large group's near misses
 listed.  Pairs of one leaf alone, and those with a longer set, leave it when the bounds allow
 them and are verified on their whole sets afterwards.  So no link between components is lost.
 
+64 groups bound long sets badly: counts of some dozens are near equal in any two of them.  So
+before whole sets move, each pair is bounded once more by summed minima, over as many groups
+as leave two to four shingles to each; only sets of pairs that pass are moved.
+
 Equal sets are one point.  Defined cases: a null or wordless text has the empty set, links
 to nothing and is its own component (its doc_id, null if that is null); a text with fewer
 words than a shingle is one shingle; repeated rows and repeated ids are returned each, with
@@ -48,6 +52,8 @@ WHOLE = 512
 # this many can be, which bounds what is broadcast.
 COMMON_SHARE = 20_000
 COMMON_LEAST = 50
+# Words of 64 bits, at most, of the bit table that keeps rows back from a join: 4 MB.
+MOST_WORDS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -157,8 +163,63 @@ def points(docs: DataFrame, like: Similar, common: np.ndarray) -> DataFrame:
     return pick(docs, "doc_id", "text").withColumn("h", F.xxhash64("text")).mapInArrow(run, POINT)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, like: Similar) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+def among(rows: DataFrame, key: str, wanted: DataFrame, n: int) -> DataFrame:
+    """The rows whose key is, or seems to be, among the ``n`` of ``wanted``: those a join can need.
+
+    A table with some 16 bits for each wanted key, of at most ``MOST_WORDS`` words, is
+    broadcast.  With more keys it is denser and keeps fewer rows back; nothing else changes.
+    """
+    bits = min(max(6, (16 * n).bit_length()), MOST_WORDS.bit_length() + 5)
+    place = F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
+    word, bit = F.shiftrightunsigned(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    words = wanted.groupBy(word.alias("_word")).agg(F.bit_or(one).alias("_bits"))
+    met = rows.join(F.broadcast(words), word == F.col("_word"))
+    return met.filter(F.col("_bits").bitwiseAND(one) != 0).drop("_word", "_bits")
+
+
+def _fine_groups(n: int) -> int:
+    """Groups of the finer vector of a set: a power of two that leaves two to four shingles to each."""
+    return max(GROUPS, 1 << max(0, n.bit_length() - 2))
+
+
+def fine_vector(s: np.ndarray) -> bytes:
+    groups = _fine_groups(len(s))
+    at = s >> np.uint64(65 - groups.bit_length())
+    return _packed(np.bincount(at.astype(np.int64), minlength=groups))
+
+
+def _least_common(x: bytes, n: int, y: bytes, m: int) -> int:
+    """Summed minima of two finer vectors; adjacent groups of the longer one are added up."""
+    counts = [np.frombuffer(v, dtype=f"<u{len(v) // _fine_groups(k)}") for v, k in ((x, n), (y, m))]
+    least = min(map(len, counts))
+    u, v = (c.reshape(least, -1).sum(axis=1, dtype=np.int64) for c in counts)
+    return int(np.minimum(u, v).sum())
+
+
+def _with_both(pairs: DataFrame, sides: DataFrame, columns: list[str]) -> DataFrame:
+    """a, b, the columns of a's row and those of b's (with a 2)."""
+    left = pairs.select("a", "b").join(sides.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}2") for c in columns]), "b")
+    both = left.join(sides.select(F.col("node").alias("a"), *columns), "a")
+    return both.select("a", "b", *columns, *[f"{c}2" for c in columns])
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, like: Similar, work: Workspace) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough; ``sets``: node, size, fine, set."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, x, m, y = (batch.column(k).to_pylist() for k in range(6))
+            keep = [
+                i
+                for i in range(len(a))
+                if like.den * min(n[i], m[i]) >= like.num * max(n[i], m[i]) and _least_common(x[i], n[i], y[i], m[i]) >= like.least_overlap(n[i], m[i])
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array([v[i] for i in keep], pa.int64()) for v in (a, b)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,17 +227,15 @@ def verified(pairs: DataFrame, sets: DataFrame, like: Similar) -> DataFrame:
             keep = []
             for i, (s, t) in enumerate(zip(x, y)):
                 n, m = len(s) // 8, len(t) // 8
-                if like.den * min(n, m) < like.num * max(n, m):
-                    continue
                 s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
                 at = np.minimum(np.searchsorted(t, s), m - 1)
                 if like.links(int((t[at] == s).sum()), n, m):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([v[i] for i in keep], pa.int64()) for v in (a, b)], names=["a", "b"])
 
-    left = pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    both = left.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    may = work.save(_with_both(pairs, sets, ["size", "fine"]).mapInArrow(bounded, "a bigint, b bigint"), "bounded")
+    needed = among(sets.select("node", "set"), "node", _ends(may.df()), 2 * may.rows)
+    return _with_both(may.df(), needed, ["set"]).mapInArrow(run, "a bigint, b bigint")
 
 
 def connected(links: DataFrame, work: Workspace) -> DataFrame:
@@ -447,7 +506,7 @@ def components(docs: DataFrame, like: Similar = Similar()) -> DataFrame:
         nodes = work.save(nodes, "nodes")
         wanted = reps.join(nodes.df(), "node", "left_semi").select("node", F.col("rep.doc_id").alias("_id"), F.col("rep.h").alias("_h"))
         sets = _sets(docs, wanted, nodes.rows, like.width, work)
-        links = work.save(verified(pairs.df(), sets, like), "links")
+        links = work.save(verified(pairs.df(), sets, like, work), "links")
         comp = work.save(connected(links.df(), work), "comp").df() if links.rows else comp
         kin = work.save(connected(pairs.df().select("a", "b").unionByName(together.df()), work), "kin").df()
         kin = kin.select("node", F.col("comp").alias("kin")).join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -458,7 +517,7 @@ def components(docs: DataFrame, like: Similar = Similar()) -> DataFrame:
             rows = reps.join(apart.df(), "node").select(F.explode("keys").alias("key"), "node", "comp", "n", "vec")
             large = work.save(rows.groupBy("key").count().filter(F.col("count") > LEAF).select("key", F.lit(True).alias("_large")), "large")
             rows = rows.join(large.df(), "key", "left")
-            short = sets.filter(F.length("set") <= 8 * WHOLE)
+            short = sets.filter(F.col("size") <= WHOLE).select("node", "set")
             with_sets = rows.filter("_large").join(short, "node", "left").select("key", "node", "comp", "n", "vec", "set")
             rows = with_sets.unionByName(rows.filter("_large IS NULL").select("key", "node", "comp", "n", "vec", F.lit(None).cast("binary").alias("set")))
             left = work.save(tree_pairs(rows, like, work).join(pairs.df().select("a", "b"), ["a", "b"], "left_anti"), "left")
@@ -472,7 +531,7 @@ def components(docs: DataFrame, like: Similar = Similar()) -> DataFrame:
                 wanted = work.save(open_.select("a", "b") if last else _one_per_components(open_, -F.col("bound")), "wanted")
                 if wanted.rows == 0:
                     break
-                found = work.save(verified(wanted.df(), sets, like), "more")
+                found = work.save(verified(wanted.df(), sets, like, work), "more")
                 if found.rows:
                     links = links.plus(found)
                     comp = work.save(connected(links.df(), work), "comp").df()
@@ -493,16 +552,20 @@ def _one_per_components(pairs: DataFrame, order) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, width: int, work: Workspace) -> DataFrame:
-    """(node, set) of the wanted points, read again from their texts."""
+    """(node, size, fine, set) of the wanted points, read again from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, "text"):
-            sets = [s.tobytes() for s in shingle_sets(texts, width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
+            sets = shingle_sets(texts, width)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(fine_vector, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["node", "size", "fine", "set"],
+            )
 
-    texts = pick(docs, "doc_id", "text").withColumn("h", F.xxhash64("text"))
+    wanted = work.save(wanted, "sought").df()
+    texts = among(pick(docs, "doc_id", "text").withColumn("h", F.xxhash64("text")), "h", wanted.select(F.col("_h").alias("h")), n_wanted)
     met = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
-    found = met.select("node", "text").mapInArrow(run, "node bigint, set binary")
+    found = met.select("node", "text").mapInArrow(run, "node bigint, size bigint, fine binary, set binary")
     stored = work.save(found, "sets")
     # more rows than points only where rows of the table repeat
     return stored.df() if stored.rows <= n_wanted else work.save(stored.df().dropDuplicates(["node"]), "sets-once").df()

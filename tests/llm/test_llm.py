@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -497,3 +498,50 @@ def test_components_of_chains_hubs_and_repeated_links(spark):
     got = [tuple(r) for r in connected(spark.createDataFrame(links, "a bigint, b bigint"), Workspace(spark)).collect()]
     assert sorted(got) == sorted((n, smallest[n]) for n in linked)
     assert connected(spark.createDataFrame([], "a bigint, b bigint"), Workspace(spark)).count() == 0
+
+
+def test_jaccard_join_of_long_texts(spark):
+    """Long texts of one vocabulary: some share half their passages, some are near copies."""
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(400)]
+    base = [[rng.choice(vocabulary) for _ in range(n)] for n in (3000, 3000, 2600, 700)]
+    texts = [" ".join(b) for b in base]
+    for b in base:
+        for changes in (4, 30, 200):
+            copy = list(b)
+            for at in rng.sample(range(len(copy)), changes):
+                copy[at] = "changed"
+            texts.append(" ".join(copy))
+        texts.append(" ".join(b[: len(b) // 2] + base[0][: len(b) // 2]))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for like in (jaccard_join.Similar(), jaccard_join.Similar(3, 9, 10)):
+        want, _ = components_by_hand(rows, like)
+        assert len({c for *_, c in want}) < len(want)
+        assert sorted(map(tuple, jaccard_join.components(df, like).collect())) == want
+
+
+def test_finer_vectors_bound_the_overlap():
+    rng = np.random.default_rng(3)
+    for n, m, both in ((1, 1, 1), (1, 900, 1), (64, 70, 30), (500, 4000, 450), (3000, 2900, 2800), (2000, 2000, 0)):
+        every = np.unique(rng.integers(0, 1 << 63, 2 * (n + m), dtype=np.uint64) * np.uint64(2))
+        every = rng.permutation(every)
+        s, t = np.sort(every[:n]), np.sort(every[n - both : n - both + m])
+        bound = jaccard_join._least_common(jaccard_join.fine_vector(s), n, jaccard_join.fine_vector(t), m)
+        assert bound >= len(np.intersect1d(s, t)) == both
+        assert bound <= min(n, m)
+    same = np.sort(np.concatenate([np.arange(400, dtype=np.uint64), np.uint64(1) << np.arange(40, 63, dtype=np.uint64)]))
+    assert jaccard_join._least_common(jaccard_join.fine_vector(same), len(same), jaccard_join.fine_vector(same), len(same)) == len(same)
+
+
+@pytest.mark.parametrize("most", [1, 2, 1 << 18])
+def test_bit_table_keeps_all_wanted_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard_join, "MOST_WORDS", most)
+    rows = spark.range(5000).withColumn("extra", F.lit("x"))
+    wanted = rows.filter("id % 97 = 3").select("id")
+    found = jaccard_join.among(rows, "id", wanted, wanted.count())
+    assert found.columns == rows.columns
+    ids = [r.id for r in found.collect()]
+    assert len(ids) == len(set(ids)) and set(ids) >= {r.id for r in wanted.collect()}
+    assert most < 9 or len(ids) < 1000
+    assert jaccard_join.among(rows, "id", wanted.limit(0), 0).count() == 0
