@@ -224,3 +224,13 @@ def test_chain_longer_than_any_default_budget_of_rounds():
 
     assert list(islice(rounds(2, None), 20_000))[-1] == 20_001
     assert list(rounds(1, 3)) == [1, 2, 3]
+
+
+def test_rule_tables_of_any_size_have_the_same_types(spark):
+    from claimweave.functions.tables import rule_table
+
+    rows = [(i % 7, 2.5, None, f"it's {i}") for i in range(12_000)]
+    small, large = (rule_table(spark, ["a", "b", "c", "d"], part) for part in (rows[:9], rows))
+    assert small.schema == large.schema
+    assert large.count() == 12_000
+    assert large.filter("d = 'it\\'s 11999' AND c IS NULL").first().a == 11_999 % 7
