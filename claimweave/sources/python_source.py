@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import ast
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -24,6 +24,9 @@ SYNTAX = (
 # The helper travels with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Nodes that a task lists before it hands them on.
+ROWS_PER_FRAME = 10_000
+
 # Syntax that carries no claim of its own; its children hang below the nearest real node.
 _HELPERS = ("Module", "arguments", "arg", "alias", "keyword", "Expr", "error", "comprehension")
 # Kept as text only: what hangs below these fields becomes no claim.
@@ -104,23 +107,40 @@ def syntax_rows(path: str, source: str) -> list[tuple]:
     return rows
 
 
+def syntax_frames(files: Iterable[tuple[str, str]], most: int = ROWS_PER_FRAME) -> Iterator[pd.DataFrame]:
+    """Syntax rows of many files in frames of ``most`` rows and the rest of one file.
+
+    A batch holds thousands of files, each with hundreds of nodes: a worker keeps one frame
+    of them at a time.
+    """
+    columns = [c.split()[0] for c in SYNTAX.split(", ")]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=columns)
+        for c in ("nid", "parent", "pos", "fn", "above"):
+            out[c] = out[c].astype("Int32")
+        return out
+
+    rows: list[tuple] = []
+    for path, source in files:
+        rows.extend(syntax_rows(path, source))
+        if len(rows) >= most:
+            yield frame(rows)
+            rows = []
+    if rows:
+        yield frame(rows)
+
+
 def parse_files(files: DataFrame, partitions: int | None = None) -> DataFrame:
     """``files(path, source)`` to syntax rows; a file that does not parse yields its error.
 
     Parsing costs far more than moving the text, so files are spread over
     ``partitions`` tasks, three per core unless given.
     """
-    columns = [c.split()[0] for c in SYNTAX.split(", ")]
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows: list[tuple] = []
-            for path, source in zip(batch["path"], batch["source"]):
-                rows.extend(syntax_rows(path, source))
-            out = pd.DataFrame(rows, columns=columns)
-            for c in ("nid", "parent", "pos", "fn", "above"):
-                out[c] = out[c].astype("Int32")
-            yield out
+            yield from syntax_frames(zip(batch["path"], batch["source"]))
 
     width = partitions or 3 * files.sparkSession.sparkContext.defaultParallelism
     return files.select("path", "source").repartition(width, "path").mapInPandas(extract, SYNTAX)

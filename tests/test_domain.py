@@ -10,7 +10,7 @@ from claimweave.operators import checks
 from claimweave.operators.closure import impact
 from claimweave.operators.dependencies import dependency_program, symbols, variable_values
 from claimweave.operators.fixpoint import RuleProgram
-from claimweave.sources.python_source import Corpus, parse_files, syntax_rows
+from claimweave.sources.python_source import Corpus, parse_files, syntax_frames, syntax_rows
 from claimweave.sources.store import GraphStore
 from claimweave.streaming import live
 
@@ -129,6 +129,15 @@ def test_parser_rows_are_plain_tuples():
     assert found[0][5] == "Module" and {r[5] for r in found} == {"Module", "Assign", "Name", "Constant"}
 
 
+def test_parser_hands_on_small_frames():
+    files = [(f"f{i}.py", "x = 1\n" * (i % 7)) for i in range(200)]
+    frames = list(syntax_frames(iter(files), most=50))
+    longest = max(len(syntax_rows(*f)) for f in files)
+    assert max(map(len, frames)) < 50 + longest
+    listed = [(r.path, r.nid, r.type) for f in frames for r in f.itertuples()]
+    assert listed == [(r[0], r[1], r[5]) for f in files for r in syntax_rows(*f)]
+
+
 def test_stream_replay_changes_nothing(spark):
     space = Workspace(spark)
     store = GraphStore(spark, space.path("store"))
