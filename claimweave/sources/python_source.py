@@ -16,10 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions.ids import double_text, long_text, value_id
+from claimweave.functions.skew import spread
 
 SYNTAX = (
     "path string, nid int, parent int, field string, pos int, type string, name string, "
-    "note string, lit_type string, lit string, fn int, owner string, above int, error string"
+    "note string, lit_type string, lit string, fn int, owner string, above int, parent_type string, "
+    "above_type string, above_field string, error string"
 )
 # The helper travels with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -51,7 +53,7 @@ def _literal(node: ast.AST) -> tuple[str | None, str | None]:
     return "i" if isinstance(value, int) else "s", str(value)
 
 
-def _row(path, nid, parent, field, pos, node, fn, owner, above) -> tuple:
+def _row(path, nid, parent, field, pos, node, fn, owner, above, around) -> tuple:
     name = next((getattr(node, k) for k in _NAME if isinstance(getattr(node, k, None), str)), None)
     note = None
     if isinstance(node, ast.Call):
@@ -70,7 +72,7 @@ def _row(path, nid, parent, field, pos, node, fn, owner, above) -> tuple:
         note = node.asname or node.name
     if field in ("decorator_list", "bases", "defaults"):
         note = _text(node)
-    return (path, nid, parent, field, pos, type(node).__name__, name, note, *_literal(node), fn, owner, above, None)
+    return (path, nid, parent, field, pos, type(node).__name__, name, note, *_literal(node), fn, owner, above, *around, None)
 
 
 def syntax_rows(path: str, source: str) -> list[tuple]:
@@ -78,17 +80,18 @@ def syntax_rows(path: str, source: str) -> list[tuple]:
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError) as error:
-        return [(path, 0, None, None, None, "error", None, None, None, None, None, None, None, str(error))]
+        return [(path, 0, None, None, None, "error", *[None] * 10, str(error))]
     rows: list[tuple] = []
     # (node, parent id, field, position, enclosing function id, owner: module, class or
-    # function, nearest ancestor that is not helper syntax)
-    stack = [(tree, None, None, None, None, None, None)]
+    # function, nearest ancestor that is not helper syntax; types of parent and that ancestor,
+    # and its field)
+    stack = [(tree, None, None, None, None, None, None, (None, None, None))]
     while stack:
-        node, parent, field, pos, fn, owner, above = stack.pop()
-        nid = len(rows)
-        rows.append(_row(path, nid, parent, field, pos, node, fn, owner, above))
+        node, parent, field, pos, fn, owner, above, around = stack.pop()
+        nid, shape = len(rows), type(node).__name__
+        rows.append(_row(path, nid, parent, field, pos, node, fn, owner, above, around))
         inside, kind = fn, owner
-        real = above if type(node).__name__ in _HELPERS else nid
+        real, over = (above, around[1:]) if shape in _HELPERS else (nid, (shape, field))
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             inside, kind = nid, "function"
         elif isinstance(node, ast.ClassDef):
@@ -102,7 +105,7 @@ def syntax_rows(path: str, source: str) -> list[tuple]:
             if isinstance(value, list) and field not in _TEXT_FIELDS:
                 items = [v for v in value if isinstance(v, ast.AST)]
                 items = [v for v in items if not isinstance(v, (ast.expr_context, ast.operator, ast.cmpop))]
-                children.extend((c, nid, name, i, inside, kind, real) for i, c in enumerate(items))
+                children.extend((c, nid, name, i, inside, kind, real, (shape, *over)) for i, c in enumerate(items))
         stack.extend(reversed(children))
     return rows
 
@@ -201,6 +204,13 @@ def module_of(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(?:\.py)?$", 1)
 
 
+def _shown_name() -> Column:
+    starred = F.when(F.col("field") == "vararg", F.concat(F.lit("*"), "name")).when(
+        F.col("field") == "kwarg", F.concat(F.lit("**"), "name")
+    )
+    return F.coalesce(starred, "name")
+
+
 class Corpus:
     """Node tables of a parsed corpus; build it from written syntax rows."""
 
@@ -227,22 +237,28 @@ class Corpus:
             module_of(F.col("path")).alias("module"), "name", kind.alias("kind"), "type", "note",
         )
 
-    def parameters(self) -> DataFrame:
-        """``path, fn, name, position, entity, annotation`` of every function parameter."""
-        shown = F.when(F.col("field") == "vararg", F.concat(F.lit("*"), "name")).when(
-            F.col("field") == "kwarg", F.concat(F.lit("**"), "name")
-        )
+    def _parameter(self) -> Column:
+        return (F.col("type") == "arg") & F.col("fn").isNotNull()
+
+    def _starred(self) -> DataFrame:
+        """``path, nid, fn, place`` of ``*`` and ``**`` parameters, which come after all plain ones."""
+        params = self.syntax.filter(self._parameter())
         plain = F.sum(F.when(F.col("field").isin("posonlyargs", "args", "kwonlyargs"), 1).otherwise(0))
-        params = self.syntax.filter((F.col("type") == "arg") & F.col("fn").isNotNull())
-        sizes = params.groupBy("path", "fn").agg(plain.cast("int").alias("_plain"))
-        place = (
-            F.when(F.col("field") == "vararg", F.col("_plain"))
-            .when(F.col("field") == "kwarg", F.col("_plain") + 1)
-            .otherwise(F.col("pos"))
+        starred = params.filter(F.col("field").isin("vararg", "kwarg")).select("path", "nid", "fn", "field")
+        sizes = params.join(starred.select("path", "fn").distinct(), ["path", "fn"], "left_semi").groupBy("path", "fn").agg(
+            plain.cast("int").alias("_plain")
         )
-        return params.join(sizes, ["path", "fn"]).select(
-            "path", "fn", "name", F.coalesce(shown, "name").alias("shown"),
-            place.alias("position"), node_id(F.col("path"), F.col("nid")).alias("entity"),
+        place = F.col("_plain") + F.when(F.col("field") == "kwarg", 1).otherwise(0)
+        return starred.join(sizes, ["path", "fn"]).select("path", "nid", "fn", place.alias("place"))
+
+    def parameters(self) -> DataFrame:
+        """``path, fn, name, position, entity, annotation`` of every function parameter."""
+        params = self.syntax.filter(self._parameter())
+        starred = F.col("field").isin("vararg", "kwarg")
+        placed = params.filter(starred).join(self._starred(), ["path", "nid", "fn"])
+        return params.filter(~starred).withColumn("place", F.col("pos")).unionByName(placed).select(
+            "path", "fn", "name", _shown_name().alias("shown"),
+            F.col("place").alias("position"), node_id(F.col("path"), F.col("nid")).alias("entity"),
             F.col("note").alias("annotation"),
         )
 
@@ -257,7 +273,9 @@ class Corpus:
         """Each reference with its target: parameter in scope, else the newest definition of
         that name in the corpus, else one of ``existing(name, entity)``, else the name as a
         literal.  Equi joins with one row per name on the right."""
-        scope = self.parameters().select("path", "fn", "name", F.col("entity").alias("_param"))
+        scope = self.syntax.filter(self._parameter()).select(
+            "path", "fn", "name", node_id(F.col("path"), F.col("nid")).alias("_param")
+        )
         defined = (
             self.definitions()
             .filter(F.col("kind") != "import")
@@ -272,7 +290,9 @@ class Corpus:
         return (
             self.references()
             .join(scope, ["path", "fn", "name"], "left")
-            .join(defined, "name", "left")
+            # names of parameters, which very many functions share, need no definition
+            .withColumn("_key", F.when(F.col("_param").isNull(), F.col("name")).otherwise(spread(["entity"])))
+            .join(defined.withColumnRenamed("name", "_key"), "_key", "left")
             .select(
                 "entity", "path", "fn", "name", "type",
                 F.coalesce("_param", "_global", value_id("s", F.col("name"))).alias("target"),
@@ -283,80 +303,107 @@ class Corpus:
             )
         )
 
-    def child_links(self) -> DataFrame:
-        """``(src, dst)``: expression children, helper nodes skipped, constants as values (long ones with their text)."""
-        nodes = self.syntax.filter(
-            ~F.col("type").isin(*_HELPERS) & F.col("above").isNotNull() & ~self._aside()
-        )
+    def _child_link(self) -> tuple[Column, Column]:
+        """Whether a node hangs below an expression, helper nodes skipped, and its id there: constants are values."""
+        hangs = ~F.col("type").isin(*_HELPERS) & F.col("above").isNotNull() & ~self._aside()
         child = F.when(
             F.col("type") == "Constant", value_id(F.col("lit_type"), F.col("lit"))
         ).otherwise(node_id(F.col("path"), F.col("nid")))
-        return nodes.select(
+        return hangs, child
+
+    def child_links(self) -> DataFrame:
+        """``(src, dst)``: expression children, helper nodes skipped, constants as values (long ones with their text)."""
+        hangs, child = self._child_link()
+        return self.syntax.filter(hangs).select(
             node_id(F.col("path"), F.col("above")).alias("src"), child.alias("dst"), "path", "nid",
             "field", "pos", long_text(child, F.col("lit")).alias("dst_text"),
         )
 
     def claims(self, tx_seq: int = 1, existing: DataFrame | None = None) -> DataFrame:
-        """All structural claims of the corpus; names may resolve to ``existing`` entities."""
-        path, nid = F.col("path"), F.col("nid")
-        me = node_id(path, nid)
-        top = self.top()
-        functions = F.col("type").isin("FunctionDef", "AsyncFunctionDef")
+        """All structural claims of the corpus; names may resolve to ``existing`` entities.
 
-        def literal(df: DataFrame, l: Column, p: str, text: Column, kind: str = "s") -> DataFrame:
-            value, text = value_id(kind, text.cast("string")), text.cast("string")
-            return df.select(l.alias("l"), F.lit(p).alias("p"), value.alias("r"), long_text(value, text).alias("lit"))
+        A node knows the types around it, so only the targets of names and the positions of
+        starred parameters need joins.
+        """
+        path, nid, kind = F.col("path"), F.col("nid"), F.col("type")
+        me, parent = node_id(path, nid), node_id(path, F.col("parent"))
+        names_functions = ("FunctionDef", "AsyncFunctionDef")
+        functions, top, param = kind.isin(*names_functions), self.top(), self._parameter()
 
-        def link(df: DataFrame, l: Column, p: str, r: Column, text: Column | None = None) -> DataFrame:
+        def link(when: Column, l: Column, p: str | Column, r: Column, text: Column | None = None) -> Column:
             text = F.lit(None).cast("string") if text is None else text
-            return df.select(l.alias("l"), F.lit(p).alias("p"), r.alias("r"), text.alias("lit"))
+            return F.when(when, F.struct(l.alias("l"), (F.lit(p) if isinstance(p, str) else p).alias("p"), r.alias("r"), text.alias("lit")))
+
+        def literal(when: Column, l: Column, p: str | Column, text: Column, lit_type: str = "s") -> Column:
+            text = text.cast("string")
+            value = value_id(lit_type, text)
+            return link(when, l, p, value, long_text(value, text))
 
-        syntax, defs, params = self.syntax, self.definitions(), self.parameters()
+        def each(df: DataFrame, *claims: Column) -> DataFrame:
+            return df.select(F.explode(F.array(*claims)).alias("c")).filter(F.col("c").isNotNull()).select("c.*")
+
+        form = _mapped(kind, FORMS)
+        defs = top & form.isNotNull()
         body = F.concat(me, F.lit("/body"))
-        is_fn = syntax.filter(functions)
         expr_kind = F.when(
-            F.col("type").isin("BinOp", "BoolOp"),
+            kind.isin("BinOp", "BoolOp"),
             F.concat(F.lower("type"), F.lit(":"), "note"),
-        ).otherwise(_mapped(F.col("type"), EXPRESSIONS))
-        inner = syntax.filter(expr_kind.isNotNull() & ~top & ~functions & ~self._aside())
-        aliases = syntax.filter((F.col("type") == "alias") & (F.col("field") == "names"))
-        parent = node_id(path, F.col("parent"))
-        links = self.child_links()
-        of_function = F.col("_fn").isNotNull() & (F.col("field") == "body")
-        fn_nodes = is_fn.select(me.alias("src"), F.lit(True).alias("_fn"))
-        links = links.join(fn_nodes, "src", "left")
-        args = syntax.filter((F.col("field") == "args") & (F.col("type") != "arg"))
-        calls = syntax.filter(F.col("type") == "Call").select("path", F.col("nid").alias("parent"))
+        ).otherwise(_mapped(kind, EXPRESSIONS))
+        inner = expr_kind.isNotNull() & ~top & ~functions & ~self._aside()
+        hangs, child = self._child_link()
+        child_text, over = long_text(child, F.col("lit")), node_id(path, F.col("above"))
+        of_function = F.coalesce(F.col("above_type").isin(*names_functions) & (F.col("field") == "body"), F.lit(False))
+        # a node directly in an assignment has the owner of that assignment
+        of_variable = F.col("above_type").isin("Assign", "AnnAssign") & (F.col("above_field") == "body") & (F.col("owner") == "module")
+        starred = F.col("field").isin("vararg", "kwarg")
+        syntax, always = self.syntax, F.lit(True)
+        takes = (F.col("field") == "args") & (kind != "arg") & (F.col("parent_type") == "Call")
+        alias = (kind == "alias") & (F.col("field") == "names")
+        typed = (kind == "AnnAssign") & top
+        texts = F.col("field").isin("decorator_list", "bases")
+        # one family of nodes a scan: the code of each stays small enough to be compiled
         parts = [
-            literal(defs, F.col("entity"), "form-kind", F.col("kind")),
-            literal(defs.filter(F.col("name").isNotNull()), F.col("entity"), "name", F.col("name")),
-            literal(defs, F.col("entity"), "source-module", F.col("module")),
-            literal(syntax.filter(F.col("type") == "AsyncFunctionDef"), me, "is-async", F.lit("true"), "b"),
-            literal(is_fn.filter(F.col("note").isNotNull()), me, "return-type", F.col("note")),
-            literal(syntax.filter((F.col("type") == "AnnAssign") & top), me, "has-type", F.col("note")),
-            literal(syntax.filter(F.col("field") == "decorator_list"), parent, "has-decorator", F.col("note")),
-            literal(syntax.filter(F.col("field") == "bases"), parent, "has-base", F.col("note")),
-            literal(params, F.col("entity"), "name", F.col("shown")),
-            literal(params, F.col("entity"), "position", F.col("position"), "i"),
-            literal(params.filter(F.col("annotation").isNotNull()), F.col("entity"), "has-type", F.col("annotation")),
-            link(params, node_id(path, F.col("fn")), "has-param", F.col("entity")),
-            literal(aliases, parent, "has-child", F.col("name")),
-            link(is_fn, me, "body", body),
-            literal(is_fn, body, "expr-kind", F.lit("block")),
-            literal(inner, me, "expr-kind", expr_kind),
-            link(self.resolved(existing), F.col("entity"), "calls", F.col("target"), long_text(F.col("target"), F.col("name"))),
-            link(links.filter(of_function), F.concat("src", F.lit("/body")), "has-child", F.col("dst"), F.col("dst_text")),
-            literal(links.filter(of_function), F.col("dst"), "position", F.col("pos"), "i"),
-            link(links.filter(~F.coalesce(of_function, F.lit(False))), F.col("src"), "has-child", F.col("dst"), F.col("dst_text")),
-            link(
-                links.join(defs.filter(F.col("kind") == "variable").select(F.col("entity").alias("src")), "src", "left_semi")
-                .filter(F.col("field") == "value"),
-                F.col("src"), "body", F.col("dst"), F.col("dst_text"),
+            each(
+                syntax.filter(defs),
+                literal(always, me, "form-kind", form),
+                literal(F.col("name").isNotNull(), me, "name", F.col("name")),
+                literal(always, me, "source-module", module_of(path)),
+            ),
+            each(
+                syntax.filter(functions),
+                literal(kind == "AsyncFunctionDef", me, "is-async", F.lit("true"), "b"),
+                literal(F.col("note").isNotNull(), me, "return-type", F.col("note")),
+                link(always, me, "body", body),
+                literal(always, body, "expr-kind", F.lit("block")),
+                link((F.col("owner") == "class") & (F.col("field") == "body"), parent, "has-method", me),
+            ),
+            each(
+                syntax.filter(param),
+                literal(always, me, "name", _shown_name()),
+                literal(~starred, me, "position", F.col("pos"), "i"),
+                literal(F.col("note").isNotNull(), me, "has-type", F.col("note")),
+                link(always, node_id(path, F.col("fn")), "has-param", me),
+            ),
+            each(
+                syntax.filter(hangs),
+                link(always, F.when(of_function, F.concat(over, F.lit("/body"))).otherwise(over), "has-child", child, child_text),
+                literal(of_function, child, "position", F.col("pos"), "i"),
+                link(of_variable & (F.col("field") == "value"), over, "body", child, child_text),
+            ),
+            each(syntax.filter(inner), literal(always, me, "expr-kind", expr_kind)),
+            each(
+                syntax.filter(takes | alias | typed | texts),
+                link(takes, parent, "has-arg", me),
+                literal(alias, parent, "has-child", F.col("name")),
+                literal(typed, me, "has-type", F.col("note")),
+                literal(
+                    texts, parent, F.when(F.col("field") == "bases", "has-base").otherwise("has-decorator"), F.col("note")
+                ),
             ),
-            link(args.join(calls, ["path", "parent"], "left_semi"), parent, "has-arg", me),
-            link(
-                syntax.filter(functions & (F.col("owner") == "class") & (F.col("field") == "body")),
-                parent, "has-method", me,
+            each(self._starred(), literal(always, me, "position", F.col("place"), "i")),
+            each(
+                self.resolved(existing),
+                link(always, F.col("entity"), "calls", F.col("target"), long_text(F.col("target"), F.col("name"))),
             ),
         ]
         merged = parts[0]

@@ -108,6 +108,17 @@ def test_source_to_dependencies(spark):
     assert shown == {("y", 0), ("n", 1), ("*rest", 2), ("**extra", 3)}
 
 
+def test_claims_of_a_corpus_need_few_joins(spark):
+    # what a node needs of its parent and its nearest real ancestor stands in its row
+    corpus = code(spark, ("src/one.py", SOURCE))
+    plan = corpus.claims()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 4
+    around = {r["name"]: (r["parent_type"], r["above_type"], r["above_field"]) for r in corpus.syntax.filter("type = 'arg'").collect()}
+    assert around["rest"] == ("arguments", "FunctionDef", "body")
+    items = corpus.syntax.filter("lit = 'open'").first()
+    assert (items["parent_type"], items["above_type"], items["above_field"]) == ("List", "List", "value")
+
+
 def test_new_source_resolves_to_what_is_there(spark):
     old = ClaimGraph(stored(code(spark, ("src/one.py", SOURCE)).claims()))
     new = code(spark, ("src/two.py", "def d(x):\n    return a(x)\n"))
