@@ -247,6 +247,14 @@ def test_formula_and_branches(spark):
     assert rows(formulas.run_table(roots, cut), "root", "status") == [("bad", "error"), ("root", "incomplete")]
 
 
+def test_only_failed_nodes_look_for_their_error(spark):
+    data = [("n", "binop", "/", None, None, None, "a", "b", None), ("a", "literal", None, None, "d", "1", None, None, None),
+            ("b", "literal", None, None, "d", "0", None, None, None), ("up", "binop", "+", None, None, None, "n", "a", None)]
+    done = formulas.evaluate(frame(spark, data, formulas.NODES))
+    assert {r["node"]: r["reason"] for r in done.collect()} == {"n": "division by zero", "up": "division by zero", "a": None, "b": None}
+    assert "isnull(err" in done._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_only_affected_formulas_run_again(spark):
     data = []
     for t in range(100):
