@@ -3,6 +3,10 @@
 Each round joins only the pairs found in the round before, drops what is known and
 writes the rest.  Known pairs are a growing list of written rounds, so nothing is
 rewritten.  Cyclic graphs end because a round with no new pair stops the loop.
+
+Looking for the known pairs moves all of them, every round.  A closure therefore goes on by
+``STRIDE`` steps a round once the paths of up to so many steps are there: a shortest path
+of ``d`` to ``d + STRIDE`` steps passes a node that is exactly ``d`` steps away.
 """
 
 from __future__ import annotations
@@ -10,7 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.workspace import Stored, Workspace, unseen, rounds
+from claimweave.workspace import FEW_ROWS, Stored, Workspace, unseen, rounds
+
+# Steps of a round of a closure: more means fewer rounds, and more ways to find one pair.
+STRIDE = 4
 
 
 def _edges(edges: DataFrame, src: str, dst: str) -> DataFrame:
@@ -34,24 +41,40 @@ def transitive_closure(
     base = space.save(_edges(edges, src, dst), "edges")
     if squaring:
         return _closure_by_squaring(space, base, max_rounds)
-    steps = base.df().select(F.col("src").alias("mid"), F.col("dst").alias("next"))
-    delta = space.save(base.df().withColumn("depth", F.lit(1)), "paths")
-    known = delta
-    for depth in rounds(2, max_rounds):
+    return closure_of(space, base, max_rounds).df()
+
+
+def closure_of(space: Workspace, base: Stored, max_rounds: int | None = None) -> Stored:
+    """Pairs of the two columns of ``base`` (distinct edges) with ``depth``, in strides unless rounds are limited."""
+    src, dst = base.schema.names
+    stride = STRIDE if max_rounds is None else 1
+    steps = delta = known = space.save(base.df().withColumn("depth", F.lit(1)), "paths")
+    depth, most = 1, 1
+    for _ in rounds(1, max_rounds):
         if delta.rows == 0:
-            return known.df()
-        reached = (
-            delta.df()
-            .select("src", F.col("dst").alias("mid"))
-            .join(steps, "mid")
-            .select("src", F.col("next").alias("dst"))
-        )
-        fresh = unseen(reached, known).withColumn("depth", F.lit(depth))
-        delta = space.save(fresh, "paths")
+            return known
+        ahead = steps.df().select(F.col(src).alias("mid"), F.col(dst).alias("next"), F.col("depth").alias("more"))
+        ends = delta.df().filter(F.col("depth") == depth).select(src, F.col(dst).alias("mid"))
+        reached = ends.join(ahead, "mid").select(src, F.col("next").alias(dst), (F.col("more") + depth).alias("depth"))
+        delta = space.save(_unseen_shortest(reached, known), "paths")
         known = known.plus(delta)
+        depth += most
+        if depth == stride:
+            steps, most = known, stride
     raise RuntimeError(f"closure not finished after {max_rounds} rounds")
 
 
+def _unseen_shortest(candidates: DataFrame, known: Stored, few: int = FEW_ROWS) -> DataFrame:
+    """The candidates' pairs that ``known`` does not hold yet, each with its smallest depth."""
+    key = candidates.columns[:2]
+    if known.rows <= few:
+        seen = known.df().select(*[F.col(c).alias(f"_{c}") for c in key])
+        same = F.col(key[0]).eqNullSafe(F.col(f"_{key[0]}")) & F.col(key[1]).eqNullSafe(F.col(f"_{key[1]}"))
+        return candidates.groupBy(*key).agg(F.min("depth").alias("depth")).join(seen, same, "left_anti")
+    both = candidates.unionByName(known.df().select(*key, F.lit(0).alias("depth")))
+    return both.groupBy(*key).agg(F.min("depth").alias("depth")).filter("depth > 0")
+
+
 def _closure_by_squaring(space: Workspace, base: Stored, max_rounds: int | None) -> DataFrame:
     known, delta = base, base
     for _ in rounds(1, max_rounds):
