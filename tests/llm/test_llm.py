@@ -259,6 +259,30 @@ def test_quality_sums_are_those_of_the_model(spark, tmp_path, monkeypatch, hot,
     assert got == pytest.approx({hash(t): kneser_ney_by_hand(texts, bare(t)) for t in asked}, abs=1e-6)
 
 
+@pytest.mark.parametrize("parts", [1, 8])
+def test_quality_by_parts_keeps_no_counts(spark, monkeypatch, parts):
+    """The sums are the same in any number of parts; what a part wrote is gone after it."""
+    from claimweave.workspace import Workspace, child_names
+
+    made = []
+    monkeypatch.setattr(quality, "Workspace", lambda *a, **k: made.append(Workspace(*a, **k)) or made[-1])
+    monkeypatch.setattr(quality, "PARTS", parts, raising=False)
+    monkeypatch.setattr(quality, "PART_BYTES", 100, raising=False)
+    draw = random.Random(4)
+    texts = [" ".join(draw.choices(PROSE, k=draw.randint(1, 40))) for _ in range(40)]
+    df = spark.createDataFrame([(k, t, "en") for k, t in enumerate([*texts, texts[0], "", None, "zebra crossing"])], "doc_id long, text string, lang string")
+    train = [k for k in range(40) if spark.range(1).select(F.pmod(F.xxhash64(F.lit(k).cast("bigint")), F.lit(quality.FOLDS)).alias("f")).first().f]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    judged = quality.judged(df, labels)
+    left = {n.split("-", 1)[1] for n in child_names(spark, made[0].root)}
+    assert not left & {"trigrams", "bigrams", "pairs", "contexts2", "contexts3", "model", "words"}
+    rows = spark.read.parquet(f"{made[0].root}/*-scores").collect()
+    unknown = spark.read.parquet(f"{made[0].root}/*-languages").first().unknown
+    expected = {k: kneser_ney_by_hand([texts[i] for i in train], t) for k, t in enumerate(texts)}
+    assert {r.doc_id: r.logp for r in rows if r.doc_id < 40} == pytest.approx(expected, abs=1e-6)
+    assert unknown < 0 and judged.count() == 44
+
+
 def test_secrets(spark, none):
     keys = [hashlib.sha1(str(k).encode()).hexdigest() for k in range(30)]
     rows = [(k, f'some text token = "{x}" and more', "src") for k, x in enumerate(keys)]
