@@ -32,6 +32,7 @@ the component of their text; ties of any kind follow the smaller number.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,6 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.llm.common import Workspace, documents, pick, plain_words, shingle_hashes, text_batches, whole_rows
+from claimweave.workspace import Stored
 
 GROUPS = 64
 LEAF = 256
@@ -54,6 +56,9 @@ COMMON_SHARE = 20_000
 COMMON_LEAST = 50
 # Words of 64 bits, at most, of the bit table that keeps rows back from a join: 4 MB.
 MOST_WORDS = 1 << 18
+# The keys of more points than these are sorted in so many parts, one after the other.
+PART_POINTS = 100_000
+PARTS = 4
 
 
 @dataclass(frozen=True)
@@ -104,6 +109,7 @@ def common_shingles(docs: DataFrame, width: int, work: Workspace) -> np.ndarray:
     found = work.save(pick(docs, "text").mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")), "counts")
     least = max(COMMON_LEAST, docs.count() // COMMON_SHARE)
     rows = found.df().filter(F.col("n") >= least).select("shingle").toPandas()
+    work.drop(found)
     return np.sort(rows["shingle"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
@@ -250,11 +256,13 @@ def connected(links: DataFrame, work: Workspace) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = work.save(large, "large").df()
+        stored = work.save(large, "large")
+        large = stored.df()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        edges = work.save(small.distinct(), "small")
+        before, edges = edges, work.save(small.distinct(), "small")
+        work.drop(before, stored)
         ends = edges.df().select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("leaf")), F.struct(F.col("v").alias("node"), F.lit(0).alias("leaf")))).alias("x"))
         roles = ends.groupBy("x.node").agg(F.sum("x.leaf").alias("centres"), F.min("x.leaf").alias("leaf"))
         if roles.filter((F.col("centres") > 1) | ((F.col("centres") > 0) & (F.col("leaf") == 0))).isEmpty():
@@ -430,18 +438,21 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange(width, "key", "n", "node").sortWithinPartitions("key", "n", "node")
 
 
-def tree_pairs(rows: DataFrame, like: Similar, work: Workspace) -> DataFrame:
+def tree_pairs(rows: DataFrame, like: Similar, work: Workspace, used: list[Stored]) -> DataFrame:
     """(a, b, bound): of the points of each bucket, links that join components, and pairs
     within the bounds that are still to be verified.
 
-    ``rows``: key, node, comp, n, vec, set (null: not at hand).
+    ``rows``: key, node, comp, n, vec, set (null: not at hand).  ``used`` gets the tables
+    that the result reads.
     """
     ordered = _dealt(rows.select("key", "node", "comp", "n", "vec", "set"))
-    leaves = work.save(ordered.mapInArrow(_pack(like), LEAVES), "leaves").df()
+    used.append(work.save(ordered.mapInArrow(_pack(like), LEAVES), "leaves"))
+    leaves = used[-1].df()
     inside = leaves.select(F.explode(F.arrays_zip("a", "b", "bound")).alias("x")).select("x.a", "x.b", "x.bound")
     several = leaves.groupBy("key").count().filter("count > 1").select("key")
     boxes = leaves.join(several, "key", "left_semi").select("key", "leaf", "low", "high", "box")
-    boxes = work.save(boxes, "boxes").df()
+    used.append(work.save(boxes, "boxes"))
+    boxes = used[-1].df()
     other = boxes.select("key", *[F.col(c).alias(f"{c}2") for c in ("leaf", "low", "high", "box")])
     may = F.aggregate(F.zip_with("box", "box2", lambda x, y: F.least(x, y)), F.lit(0).cast("bigint"), lambda x, y: x + y)
     total = F.col("low") + F.col("low2")
@@ -481,23 +492,33 @@ def tree_pairs(rows: DataFrame, like: Similar, work: Workspace) -> DataFrame:
 def components(docs: DataFrame, like: Similar = Similar()) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``."""
     spark = docs.sparkSession
-    work = Workspace(spark)
+    work = Workspace(spark, tidy=True)
     common = common_shingles(docs, like.width, work)
-    every = work.save(points(docs, like, common), "points").df()
+    whole = work.save(points(docs, like, common), "points")
+    every = whole.df()
     reps = (
         every.filter("n > 0")
         .groupBy("digest")
         .agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("vec").alias("vec"), F.first("keys").alias("keys"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    reps = work.save(reps, "reps").df()
+    reps = work.save(reps, "reps")
+    parts = PARTS if reps.rows > PART_POINTS else 1
+    reps = reps.df()
+    every = work.save(every.select("doc_id", "n", "digest"), "rows").df()
+    work.drop(whole)  # keys and vectors are those of the representatives
     entered = reps.select(F.explode("keys").alias("key"), "node", "n", "vec")
-    forest = work.save(_dealt(entered).mapInArrow(_forest(like), FOREST), "forest").df()
+    trees = []
+    for k in range(parts):  # a part of the keys is sorted at a time
+        mine = entered.filter(F.pmod(F.xxhash64("key"), F.lit(parts)) == k)
+        trees.append(work.save(_dealt(mine).mapInArrow(_forest(like), FOREST), "forest"))
+    forest = functools.reduce(Stored.plus, trees).df()
     pairs = work.save(forest.filter("b IS NOT NULL").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("n")), "pairs")
     cut = forest.filter("key IS NOT NULL").select("key", F.col("a").alias("node"))
     several = cut.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("_hi")).filter("b <> _hi").drop("_hi")
     together = cut.join(several, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
     together = work.save(together, "together")
+    work.drop(*trees)
     comp = spark.createDataFrame([], "node bigint, comp bigint")
     if pairs.rows or together.rows:
         # every later pair is of these points, so texts move once
@@ -520,7 +541,9 @@ def components(docs: DataFrame, like: Similar = Similar()) -> DataFrame:
             short = sets.filter(F.col("size") <= WHOLE).select("node", "set")
             with_sets = rows.filter("_large").join(short, "node", "left").select("key", "node", "comp", "n", "vec", "set")
             rows = with_sets.unionByName(rows.filter("_large IS NULL").select("key", "node", "comp", "n", "vec", F.lit(None).cast("binary").alias("set")))
-            left = work.save(tree_pairs(rows, like, work).join(pairs.df().select("a", "b"), ["a", "b"], "left_anti"), "left")
+            used: list[Stored] = []
+            left = work.save(tree_pairs(rows, like, work, used).join(pairs.df().select("a", "b"), ["a", "b"], "left_anti"), "left")
+            work.drop(*used)
             for last in (False, True):
                 if left.rows == 0:
                     break

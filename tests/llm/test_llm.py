@@ -283,6 +283,20 @@ def test_quality_by_parts_keeps_no_counts(spark, monkeypatch, parts):
     assert unknown < 0 and judged.count() == 44
 
 
+def test_joins_keep_no_keys_and_vectors(spark, docs, monkeypatch):
+    """Components are the same by parts of the keys; points, forests and leaves are gone after them."""
+    from claimweave.workspace import Workspace, child_names
+
+    made, found = [], []
+    monkeypatch.setattr(jaccard_join, "Workspace", lambda *a, **k: made.append(Workspace(*a, **k)) or made[-1])
+    for points in (100_000, 0):
+        monkeypatch.setattr(jaccard_join, "PART_POINTS", points, raising=False)
+        found.append(sorted(map(str, jaccard_join.components(docs).collect())))
+        left = {n.split("-", 1)[1] for n in child_names(spark, made[-1].root)}
+        assert not left & {"counts", "points", "forest", "leaves", "boxes"}
+    assert found[0] == found[1]
+
+
 def test_secrets(spark, none):
     keys = [hashlib.sha1(str(k).encode()).hexdigest() for k in range(30)]
     rows = [(k, f'some text token = "{x}" and more', "src") for k, x in enumerate(keys)]
