@@ -7,7 +7,9 @@ overlap that the similarity needs cannot link.  The same bound holds for boxes o
 
 The tree's top level is an equi join: of a set in a fixed order (common shingles last, then
 by hash) two linked sets share one of the first ``n - ceil(t n) + 1``, so each point is
-entered under those.  Below it lie leaves of at most ``LEAF`` points with their boxes.  A
+entered under those.  Most of these keys are of one point alone: keys without vectors are
+dealt out first, and only those that several points have go on.  Below lie leaves of at most
+``LEAF`` points with their boxes.  A
 bucket of any size is cut into leaves by a range sort; leaf pairs are bounded by their boxes,
 point pairs by their vectors, and what is left is verified on the whole sets.
 
@@ -42,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import Workspace, documents, pick, plain_words, shingle_hashes, text_batches, whole_rows
+from claimweave.llm.common import Workspace, documents, in_least, least_type, pick, plain_words, shingle_hashes, split_by_keys, text_batches, whole_rows
 from claimweave.workspace import Stored
 
 GROUPS = 64
@@ -56,9 +58,14 @@ COMMON_SHARE = 20_000
 COMMON_LEAST = 50
 # Words of 64 bits, at most, of the bit table that keeps rows back from a join: 4 MB.
 MOST_WORDS = 1 << 18
-# The keys of more points than these are sorted in so many parts, one after the other.
-PART_POINTS = 100_000
+# The shared keys of more points than these are sorted in so many parts, one after the other.
+PART_POINTS = 1_000_000
 PARTS = 4
+# Leaves of up to so many points, and so many of them, are remembered by a task.
+SEEN_POINTS = 16
+MOST_SEEN = 100_000
+# Keys meet in 16 buckets at least, one for the keys of so many points.
+BUCKET_POINTS = 20_000
 
 
 @dataclass(frozen=True)
@@ -169,6 +176,57 @@ def points(docs: DataFrame, like: Similar, common: np.ndarray) -> DataFrame:
     return pick(docs, "doc_id", "text").withColumn("h", F.xxhash64("text")).mapInArrow(run, POINT)
 
 
+def shared_keys(reps: DataFrame, n: int) -> DataFrame:
+    """(key, node) of the keys that several of the ``n`` points have; ``reps``: node, keys.
+
+    Each task hands on, for each bucket of keys (their first bits), the keys and whose they are.
+    """
+    bits = max(4, (n // BUCKET_POINTS).bit_length())
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, lists = b.column(0).to_numpy(), b.column(1)
+            keys = lists.flatten().to_numpy().view(np.uint64)
+            owner = np.repeat(np.arange(len(nodes)), np.diff(lists.offsets.to_numpy()))
+            bucket = least_type(keys >> np.uint64(64 - bits))
+            order = np.argsort(bucket, kind="stable")
+            ends = np.append(0, np.cumsum(np.bincount(bucket, minlength=1 << bits))).tolist()
+            rows = []
+            for k, (a, z) in enumerate(zip(ends, ends[1:])):
+                if a < z:
+                    mine = owner[order[a:z]]
+                    there = np.zeros(len(nodes), bool)
+                    there[mine] = True
+                    rows.append((k, keys[order[a:z]].tobytes(), least_type((np.cumsum(there) - 1)[mine]).tobytes(), nodes[there].tobytes()))
+            if rows:
+                kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["bucket", "keys", "owners", "nodes"])
+
+    def several(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        keys, nodes = (np.concatenate(x) for x in zip(*held))
+        every = np.sort(keys)
+        twice = np.unique(every[1:][every[1:] == every[:-1]])
+        if len(twice):
+            at = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, keys), len(twice) - 1)] == keys)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(nodes[at])], names=["key", "node"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+        for b in batches:
+            for k in range(b.num_rows):
+                at, keys, owners, nodes = (b.column(c)[k].as_py() for c in range(4))
+                if at != bucket and held:
+                    yield from several(held)
+                    held = []
+                bucket = at
+                held.append((np.frombuffer(keys, np.uint64), np.frombuffer(nodes, np.int64)[in_least(owners, len(keys) // 8)]))
+        if held:
+            yield from several(held)
+
+    dealt = reps.mapInArrow(deal, "bucket int, keys binary, owners binary, nodes binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key bigint, node bigint")
+
+
 def among(rows: DataFrame, key: str, wanted: DataFrame, n: int) -> DataFrame:
     """The rows whose key is, or seems to be, among the ``n`` of ``wanted``: those a join can need.
 
@@ -350,6 +408,23 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: int, most: int) -> Iterato
         yield part, True
 
 
+def _repeated():
+    """Tells whether a leaf of these points was there before in the task: linked texts share many keys."""
+    seen: set[tuple] = set()
+
+    def told(part: list) -> bool:
+        nodes = tuple([r[1] for r in part])
+        if nodes in seen:
+            return True
+        if len(seen) >= MOST_SEEN:
+            seen.clear()
+        if len(nodes) <= SEEN_POINTS:
+            seen.add(nodes)
+        return False
+
+    return told
+
+
 FOREST = "a bigint, b bigint, key bigint"
 
 
@@ -361,7 +436,10 @@ def _forest(like: Similar):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
+        repeated = _repeated()
         for part, several in _runs(batches, 4, most):
+            if not several and repeated(part):
+                continue
             if several:
                 out += [(r[1], None, r[0]) for r in part]
             if len(part) > 1:
@@ -409,8 +487,9 @@ def _pack(like: Similar):
 
         number = TaskContext.get().partitionId() << 33
         out: list = []
+        repeated = _repeated()
         for part, several in _runs(batches, 6, most):
-            if not several and len(part) == 1:
+            if not several and (len(part) == 1 or repeated(part)):
                 continue
             leaf = leaf_of(part[0][0], part, number, several)
             if not several and not leaf["a"]:
@@ -502,12 +581,14 @@ def components(docs: DataFrame, like: Similar = Similar()) -> DataFrame:
         .agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("vec").alias("vec"), F.first("keys").alias("keys"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    reps = work.save(reps, "reps")
-    parts = PARTS if reps.rows > PART_POINTS else 1
-    reps = reps.df()
+    keyed = work.save(reps, "keyed")
+    parts = PARTS if keyed.rows > PART_POINTS else 1
     every = work.save(every.select("doc_id", "n", "digest"), "rows").df()
     work.drop(whole)  # keys and vectors are those of the representatives
-    entered = reps.select(F.explode("keys").alias("key"), "node", "n", "vec")
+    shared = work.save(shared_keys(keyed.df().select("node", "keys"), keyed.rows), "shared").df()
+    reps = work.save(keyed.df().drop("keys"), "reps").df()
+    work.drop(keyed)
+    entered = shared.join(reps.select("node", "n", "vec"), "node").select("key", "node", "n", "vec")
     trees = []
     for k in range(parts):  # a part of the keys is sorted at a time
         mine = entered.filter(F.pmod(F.xxhash64("key"), F.lit(parts)) == k)
@@ -535,7 +616,7 @@ def components(docs: DataFrame, like: Similar = Similar()) -> DataFrame:
         still = kin.join(broken, "kin").select("node", "comp")
         apart = work.save(still, "apart")
         if apart.rows:
-            rows = reps.join(apart.df(), "node").select(F.explode("keys").alias("key"), "node", "comp", "n", "vec")
+            rows = shared.join(reps.select("node", "n", "vec").join(apart.df(), "node"), "node").select("key", "node", "comp", "n", "vec")
             large = work.save(rows.groupBy("key").count().filter(F.col("count") > LEAF).select("key", F.lit(True).alias("_large")), "large")
             rows = rows.join(large.df(), "key", "left")
             short = sets.filter(F.col("size") <= WHOLE).select("node", "set")
@@ -596,10 +677,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, width: int, work: W
 
 def near_duplicates_removed(docs: DataFrame, like: Similar = Similar()) -> DataFrame:
     """Of each component the rows of its smallest doc_id (one of them, if repeated)."""
-    found = components(docs, like).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    rows = whole_rows(docs, _doc=F.col("doc_id"), _text=F.col("text"))
-    kept = rows.join(found, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["_doc", "_text"]).select("_all.*")
+    work = Workspace(docs.sparkSession, tidy=True)
+    found = components(docs, like).groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count(F.lit(1)).alias("n"))
+    # a document that stays and is there once need not move
+    asked = work.save(found.filter("NOT stays OR n > 1").select(F.col("doc_id").alias("_id"), "stays"), "asked")
+    rows = whole_rows(docs, _doc=F.col("doc_id").cast("bigint"), _text=F.col("text"))
+    may, single = split_by_keys(rows, "_doc", asked.df().select(F.col("_id").alias("_doc")), asked.rows)
+    kept = may.join(asked.df().filter("NOT stays").select("_id"), F.col("_doc").eqNullSafe(F.col("_id")), "left_anti")
+    return single.select("_all.*").unionByName(kept.dropDuplicates(["_doc", "_text"]).select("_all.*"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
